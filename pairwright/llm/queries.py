@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pairwright.llm import mixing, simhash
+from pairwright.llm import mixing, secrets, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": simhash.query,
         "op2_mixing": mixing.query,
+        "op3_secrets": secrets.query,
     }
 
 
