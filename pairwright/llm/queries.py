@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pairwright.llm import chat, mixing, secrets, simhash
+from pairwright.llm import audio, chat, mixing, secrets, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_simhash": simhash.query,
         "op2_mixing": mixing.query,
         "op3_secrets": secrets.query,
+        "op6_audio": audio.query,
         "op10_chat": chat.query,
     }
 
