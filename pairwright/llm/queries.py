@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pairwright.llm import audio, chat, mixing, secrets, simhash
+from pairwright.llm import audio, chat, licenses, mixing, secrets, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_mixing": mixing.query,
         "op3_secrets": secrets.query,
         "op6_audio": audio.query,
+        "op8_licenses": licenses.query,
         "op10_chat": chat.query,
     }
 
