@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pairwright.llm import audio, chat, licenses, mixing, secrets, simhash
+from pairwright.llm import audio, chat, language, licenses, mixing, secrets, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_secrets": secrets.query,
         "op6_audio": audio.query,
         "op8_licenses": licenses.query,
+        "op9_language": language.query,
         "op10_chat": chat.query,
     }
 
