@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pairwright.llm import audio, chat, language, licenses, mixing, neighbours, secrets, simhash
+from pairwright.llm import audio, chat, language, licenses, mixing, neighbours, secrets, simhash, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_simhash": simhash.query,
         "op2_mixing": mixing.query,
         "op3_secrets": secrets.query,
+        "op4_toxicity": toxicity.query,
         "op5_neighbours": neighbours.query,
         "op6_audio": audio.query,
         "op8_licenses": licenses.query,
