@@ -6,9 +6,9 @@ the lexicon's letters, once; a word then costs one table look-up a letter, and a
 batch that have one length advance together. An opening matches whatever follows it. A word's first letter
 must be right; longer terms bear more errors.
 
-Each hit is looked at in a window of words: between quotation marks or beside a word of reporting it is a
+Terms must hold on a second half of the labelled rows, too. Each hit is looked at in a window of words: between quotation marks or beside a word of reporting it is a
 quotation, beside a word of address it is aimed at someone. A logistic model over these sums, fitted to
-other labelled rows than the lexicon was learned from, gives the score.
+that second half, gives the score.
 
 Both samples are bounded (``PER_LABEL`` rows of each label and half, those with the smallest hash; openings
 that repeat count once, so that copies don't speak for a word). Everything else looks at whole texts, all
@@ -230,11 +230,15 @@ def _counts(sample: DataFrame) -> DataFrame:
     return sample.select("t", "toxic").mapInArrow(run, "gram string, opening boolean, toxic int, n long")
 
 
+def _holds(a: int, b: int, toxic: int, clean: int) -> bool:
+    """Enough toxic rows, of ``toxic``, and far more often than of the others."""
+    return a >= max(2, LEAST_SHARE * toxic) and math.log((a + 0.5) / (toxic + 1)) - math.log((b + 0.5) / (clean + 1)) >= ODDS
+
+
 def choose(grams: list[tuple[str, bool, int, int]], toxic: int, clean: int) -> list[Term]:
     """The lexicon from (gram, is an opening, toxic rows, other rows): the shortest openings that hold, or a
     word where an opening is all but one word."""
-    least = max(4, LEAST_SHARE * toxic)
-    good = {(g, o): a for g, o, a, b in grams if a >= least and math.log((a + 0.5) / (toxic + 1)) - math.log((b + 0.5) / (clean + 1)) >= ODDS}
+    good = {(g, o): a for g, o, a, b in grams if _holds(a, b, toxic, clean)}
     words = {g: a for (g, o), a in good.items() if not o}
     taken: dict[Term, int] = {}
     for (g, o), a in sorted(good.items(), key=lambda x: (not x[0][1], len(x[0][0]), x[0][0])):
@@ -260,9 +264,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if any(not sizes.get((half, y)) for half in (0, 1) for y in (0, 1)):
         return Model(None, np.zeros(len(FEATURES) + 2))
     sums = _counts(sample.where("half = 0")).groupBy("gram", "opening").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("b"))
-    likely = sums.where((F.col("a") >= 4) & (F.col("a") * sizes[0, 0] > 4 * F.col("b") * sizes[0, 1])).orderBy(F.desc("a"), "gram", "opening").limit(20_000)
+    likely = sums.where((F.col("a") >= 2) & (F.col("a") * sizes[0, 0] > 4 * F.col("b") * sizes[0, 1])).orderBy(F.desc("a"), "gram", "opening").limit(20_000)
     terms = choose([tuple(r) for r in likely.collect()], sizes[0, 1], sizes[0, 0])
+    other = sample.where("half = 1").select("t", "toxic")
     automaton = Automaton(terms)
+    seen: Counter = Counter()
+    for r in other.mapInArrow(_named(automaton), "terms array<int>, toxic int").collect():
+        seen.update((n, r.toxic) for n in r.terms)
+    automaton = Automaton([t for n, t in enumerate(terms) if _holds(seen[n, 1], seen[n, 0], sizes[1, 1], sizes[1, 0])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -270,9 +279,25 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             hits = _hits(automaton, found)
             yield pa.RecordBatch.from_arrays([pa.array([features(f, hits) for f in found], pa.list_(pa.float64())), b.column(1)], names=["x", "toxic"])
 
-    seen = sorted(((r.x or [], r.toxic) for r in sample.where("half = 1").select("t", "toxic").mapInArrow(run, "x array<double>, toxic int").collect()))
-    x = np.array([[*v, 1.0, 1.0] if v else [0.0] * (len(FEATURES) + 1) + [1.0] for v, _ in seen])
-    return Model(automaton, logistic(x, np.array([y for _, y in seen], dtype=np.float64)))
+    rows = sorted(((r.x or [], r.toxic) for r in other.mapInArrow(run, "x array<double>, toxic int").collect()))
+    # A term with a wrong letter is as bad as without, unless other rows show it to be another word: toxic rows
+    # count a second time, as if all their hits had been misspelled.
+    near = [([0.0, max(v[:2]), *v[2:3], 0.0, *v[4:]], y) for v, y in rows if v and y == 1]
+    rows += near
+    x = np.array([[*v, 1.0, 1.0] if v else [0.0] * (len(FEATURES) + 1) + [1.0] for v, _ in rows])
+    return Model(automaton, logistic(x, np.array([y for _, y in rows], dtype=np.float64)))
+
+
+def _named(automaton: Automaton):
+    """The terms that each row has without errors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [tokens(t) for t in texts(b.column(0))]
+            hits = {w: t for w, (t, e) in _hits(automaton, found).items() if not e}
+            yield pa.RecordBatch.from_arrays([pa.array([sorted({hits[w] for w in hits.keys() & set(f)}) for f in found], pa.list_(pa.int32())), b.column(1)], names=["terms", "toxic"])
+
+    return run
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 60) -> np.ndarray:
