@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pairwright.llm import audio, chat, language, licenses, mixing, neighbours, secrets, simhash, toxicity
+from pairwright.llm import audio, chat, language, licenses, mixing, neighbours, pieces, secrets, simhash, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_toxicity": toxicity.query,
         "op5_neighbours": neighbours.query,
         "op6_audio": audio.query,
+        "op7_pieces": pieces.query,
         "op8_licenses": licenses.query,
         "op9_language": language.query,
         "op10_chat": chat.query,
