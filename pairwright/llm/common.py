@@ -14,17 +14,19 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df, written once to the shared checkpoint folder, with its lineage cut.
-
-    The folder is the one the session names in spark.checkpoint.dir. Only a session without one
-    (tests, a laptop) gets a temporary folder.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the one the session names in spark.checkpoint.dir. Only a
+    session without one (tests, a laptop) gets a temporary folder."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="pairwright-"))
+    return sc.getCheckpointDir()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df, written once to the shared folder, with its lineage cut."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

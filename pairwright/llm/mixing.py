@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pairwright.llm.common import small, stored, table
@@ -209,7 +209,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """A row for each row of docs: doc_id, source, seed (a hash of the row), size, source_size, target and
     copies, how often the mix takes the document."""
     sized = sizes(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.col(text_col).alias("text")))
-    sized = stored(sized.withColumn("seed", F.xxhash64("doc_id", "source", "text")).drop("text"))
+    sized = stored(sized.withColumn("seed", _seed("doc_id", "text", "source")).drop("text"))
     params = small(stored(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most))).withColumnRenamed("source", "of")
     rows = sized.join(params, F.col("source").eqNullSafe(F.col("of"))).drop("of")
     times = F.when(F.col("size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
@@ -232,6 +232,24 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return out.withColumn("copies", F.col("whole") + F.round("p").cast("int")).drop("whole", "p")
 
 
+def _seed(id_col: str, text_col: str, source_col: str) -> Column:
+    return F.xxhash64(id_col, source_col, text_col)
+
+
+def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
+    """docs, each row as often as the mix takes it."""
+    mixed = mix(docs, id_col, text_col, source_col, **how).groupBy("seed").agg(F.sum("copies").alias("_times"), F.count("*").alias("_rows"))
+    mixed = stored(mixed.withColumnRenamed("seed", "_of"))
+    taken = small(mixed.where("_times > 0 and _rows = 1"))
+    keyed = docs.withColumn("_seed", _seed(id_col, text_col, source_col))
+    out = keyed.join(taken, F.col("_seed") == F.col("_of"))
+    again = mixed.where("_times > 0 and _rows > 1")
+    if not again.isEmpty():  # rows that repeat share what they are taken together
+        once = keyed.join(small(stored(again)), F.col("_seed") == F.col("_of")).dropDuplicates(["_seed"])
+        out = out.unionByName(once)
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select(docs.columns)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = mix(table(spark, sf_dir, "documents"))
     return m.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
