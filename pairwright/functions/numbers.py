@@ -7,26 +7,18 @@ from pyspark.sql import functions as F
 
 from pairwright.functions.patterns import trim
 
-FLOAT = r"^[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:inf|infinity|nan))$"
-INT = r"^[+-]?\d+$"
+FLOAT = r"(?U)^\s*[+-]?((?-U)(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?|(?i:inf|infinity|nan))(?U)\s*\z"
+INT = r"(?U)^\s*[+-]?[0-9]+\s*\z"
 
 
 def as_double(text: Column) -> Column:
     """The trimmed text as a double; null if it is no number."""
-    t = trim(text)
-    named = F.lower(F.regexp_replace(t, "^[+-]", ""))
-    value = (
-        F.when(named.isin("inf", "infinity"), F.when(t.startswith("-"), F.lit(float("-inf"))).otherwise(F.lit(float("inf"))))
-        .when(named == "nan", F.lit(float("nan")))
-        .otherwise(t.try_cast("double"))
-    )
-    return F.when(F.rlike(t, F.lit(FLOAT)), value)
+    return F.when(F.rlike(text, F.lit(FLOAT)), trim(text).try_cast("double"))
 
 
 def as_long(text: Column) -> Column:
     """The trimmed text as a long; null if it is no whole number of 64 bits."""
-    t = trim(text)
-    return F.when(F.rlike(t, F.lit(INT)), t.try_cast("bigint"))
+    return F.when(F.rlike(text, F.lit(INT)), trim(text).try_cast("bigint"))
 
 
 def whole(number: Column) -> Column:
