@@ -35,6 +35,19 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+#: Rows of an Arrow batch of texts.
+BATCH_ROWS = 1_000
+
+
+def text_batches(df: DataFrame) -> DataFrame:
+    """df, in a session whose Arrow batches hold BATCH_ROWS rows at most: with texts of some kilobytes the
+    default of 10,000 takes tens of megabytes for each task, on both sides of the pipe to Python."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, BATCH_ROWS)
+    return df
+
+
 def utf8(column: str | Column) -> Column:
     """The text as bytes, null as no bytes."""
     c = F.col(column) if isinstance(column, str) else column

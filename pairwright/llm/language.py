@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pairwright.llm.common import table, texts, utf8
+from pairwright.llm.common import table, text_batches, texts, utf8
 
 WINDOW = 256
 WIDE = 5
@@ -150,7 +150,7 @@ def has_letter(text: Column) -> Column:
 def predict(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, lang_pred, score for each row of docs."""
     kind = dict(docs.dtypes)[id_col]
-    rows = docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("t"), has_letter(F.col(text_col)).alias("letter"))
+    rows = text_batches(docs).select(F.col(id_col).alias("id"), utf8(text_col).alias("t"), has_letter(F.col(text_col)).alias("letter"))
 
     def block(ids: list, parts: list[bytes], letter: list[bool]) -> pa.RecordBatch:
         windows = [cut(t) for t, yes in zip(parts, letter) if yes]

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pairwright.llm.common import small, stored, table, texts, utf8
+from pairwright.llm.common import small, stored, table, text_batches, texts, utf8
 
 K = 3
 APART = 3
@@ -179,7 +179,7 @@ def licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", te
     templates = TEMPLATES if templates is None else templates
     kind = dict(docs.dtypes)[id_col]
     split = {n: words(t.encode()) for n, t in templates.items()}
-    keyed = docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("t")).withColumn("key", F.xxhash64("t"))
+    keyed = text_batches(docs).select(F.col(id_col).alias("id"), utf8(text_col).alias("t")).withColumn("key", F.xxhash64("t"))
     # The templates are a parameter, some hundred words each: their runs are few, whatever the documents.
     places = F.broadcast(template_grams(docs.sparkSession, templates, k))
     runs = diagonals(grams(keyed.select("key", "t"), k).join(places, "gram"), apart)

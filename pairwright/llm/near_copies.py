@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairwright.llm.common import small, stored, texts, utf8
+from pairwright.llm.common import small, stored, text_batches, texts, utf8
 from pairwright.llm.components import components
 from pairwright.llm.simhash import fingerprint, shingle_hashes
 
@@ -134,7 +134,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     cls = F.xxhash64(utf8(text_col), F.length(utf8(text_col)))
     key = F.xxhash64(F.col(id_col), cls)
     kind = dict(docs.dtypes)[id_col]
-    rows = docs.select(key.alias("key"), F.col(id_col).alias("id"), cls.alias("class"), utf8(text_col).alias("t"))
+    rows = text_batches(docs).select(key.alias("key"), F.col(id_col).alias("id"), cls.alias("class"), utf8(text_col).alias("t"))
     prints = stored(rows.mapInArrow(_prints(shingle), f"key long, id {kind}, class long, fp long, n int, blocks array<long>"))
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("first")
     classes = stored(prints.groupBy("class").agg(first, F.min("fp").alias("fp"), F.min("n").alias("n"), F.min("blocks").alias("blocks")))

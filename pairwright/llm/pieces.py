@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairwright.llm.common import table, texts, utf8
+from pairwright.llm.common import table, text_batches, texts, utf8
 
 #: Where the query finds its model.
 MODEL = os.environ.get("PAIRWRIGHT_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
@@ -396,7 +396,7 @@ def encode(docs: DataFrame, model: bytes, columns: list[str], text_col: str = "t
     """The named columns of docs with ids (array<int>); with check, also text_sha256 of the decoded text
     and round_trip, whether it is the text."""
     kinds = dict(docs.dtypes)
-    rows = docs.select(utf8(text_col).alias("_utf8"), *columns)
+    rows = text_batches(docs).select(utf8(text_col).alias("_utf8"), *columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = shared(model)

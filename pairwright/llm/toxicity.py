@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pairwright.llm.common import stored, table, texts, utf8
+from pairwright.llm.common import stored, table, text_batches, texts, utf8
 from pairwright.llm.language import held_out
 
 PER_LABEL = 1_500
@@ -319,7 +319,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 60
 def score(docs: DataFrame, model: Model, columns: list[str], text_col: str = "text") -> DataFrame:
     """The named columns of docs, with score (0 to 1)."""
     kinds = dict(docs.dtypes)
-    rows = docs.select(utf8(text_col).alias("_utf8"), *columns)
+    rows = text_batches(docs).select(utf8(text_col).alias("_utf8"), *columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
