@@ -35,6 +35,20 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+#: Rows of one key from which on a join leaves them where they are.
+HOT_ROWS = 1_000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+    """rows joined to groups (one row a key) on key. hot: the keys with more than HOT_ROWS rows, stored. Their
+    groups are broadcast, if their number allows it, so that no task gets all the rows of one key."""
+    if hot.isEmpty():
+        return rows.join(groups, key)
+    keys = small(hot)
+    few = small(stored(groups.join(keys, key, "left_semi")))
+    return rows.join(keys, key, "left_anti").join(groups, key).unionByName(rows.join(few, key))
+
+
 #: Rows of an Arrow batch of texts.
 BATCH_ROWS = 1_000
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairwright.llm.common import small, stored, text_batches, texts, utf8
+from pairwright.llm.common import HOT_ROWS, join_groups, small, stored, text_batches, texts, utf8
 from pairwright.llm.components import components
 from pairwright.llm.simhash import fingerprint, shingle_hashes
 
@@ -137,7 +137,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = text_batches(docs).select(key.alias("key"), F.col(id_col).alias("id"), cls.alias("class"), utf8(text_col).alias("t"))
     prints = stored(rows.mapInArrow(_prints(shingle), f"key long, id {kind}, class long, fp long, n int, blocks array<long>"))
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("first")
-    classes = stored(prints.groupBy("class").agg(first, F.min("fp").alias("fp"), F.min("n").alias("n"), F.min("blocks").alias("blocks")))
+    classes = stored(prints.groupBy("class").agg(first, F.min("fp").alias("fp"), F.min("n").alias("n"), F.min("blocks").alias("blocks"), F.count("*").alias("rows")))
     filed = classes.select(F.posexplode("blocks").alias("band", "block"), F.col("n").cast("long").alias("n"), "class", "fp")
     dealt = filed.repartitionByRange("band", "block", "n", "class").sortWithinPartitions("band", "block", "n", "class")
     pairs = stored(dealt.mapInArrow(_pairs(least), "a long, b long").distinct())
@@ -150,7 +150,8 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     grouped = classes.select("class", "first").join(roots, "class", "left").select("class", "first", F.coalesce("root", "class").alias("root"))
     stays = grouped.groupBy("root").agg(F.min("first").alias("stays"))
     of = grouped.join(stays, "root").select("class", F.col("stays.key").alias("stays"))
-    kept = prints.join(of, "class").withColumn("stay", F.col("key") == F.col("stays"))
+    hot = stored(classes.where(F.col("rows") > HOT_ROWS).select("class"))
+    kept = join_groups(prints.select("key", "class"), of, "class", hot).withColumn("stay", F.col("key") == F.col("stays"))
     gone = small(stored(kept.where(~F.col("stay")).select(F.col("key").alias("gone")).distinct()))
     left = docs.withColumn("_key", key).join(gone, F.col("_key") == F.col("gone"), "left_anti")
     again = stored(kept.where("stay").groupBy("key").count().where("count > 1").select(F.col("key").alias("again")))

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairwright.llm.common import small, stored, table, text_batches, texts, utf8
+from pairwright.llm.common import HOT_ROWS, join_groups, small, stored, table, text_batches, texts, utf8
 from pairwright.llm.components import components
 
 BITS = 64
@@ -163,13 +163,14 @@ def links(fps: DataFrame, most: int = 3, crowd: int = 2_000) -> DataFrame:
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, most: int = 3) -> DataFrame:
     """id, fp, component for each row: the smallest id of all rows that links lead to."""
     prints = stored(fingerprints(docs, id_col, text_col, shingle))
-    classes = stored(prints.groupBy("fp").agg(F.min("id").alias("first")))
+    classes = stored(prints.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("rows")))
     roots = components(links(classes.select("fp"), most)).withColumnRenamed("node", "fp")
     joined = classes.join(roots, "fp")
     least = joined.groupBy("root").agg(F.min("first").alias("component"))
     named = joined.select("fp", "root").join(least, "root").select("fp", "component")
     of = classes.join(named, "fp", "left").select("fp", F.coalesce("component", "first").alias("component"))
-    return prints.join(of, "fp").select("id", "fp", "component")
+    hot = stored(classes.where(F.col("rows") > HOT_ROWS).select("fp"))
+    return join_groups(prints, of, "fp", hot).select("id", "fp", "component")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -62,7 +62,8 @@ def brute_ids(rows):
     return [i for i in brute([(r[0] if r[0] is not None else None, r[1]) for r in rows])] if all(r[0] is not None for r in rows) else [i for i in brute([r for r in rows if r[0] is not None])] + [None]
 
 
-def test_repeated_rows_leave_one(spark):
+def test_repeated_rows_leave_one(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "HOT_ROWS", 2)
     rows = [(1, "a b c d e f g")] * 3 + [(2, "a b c d e f g"), (3, "other words altogether")]
     df = spark.createDataFrame([(*r, None, None, None) for r in rows], SCHEMA)
     assert sorted(r.doc_id for r in near_copies.drop_near_copies(df).collect()) == [1, 3]

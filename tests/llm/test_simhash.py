@@ -99,3 +99,10 @@ def test_components_chain(spark):
     edges = [(i, i + 1) for i in range(0, 200)] + [(5, 5), (None, 3), (900, 901), (901, 900)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(201)} | {900: 900, 901: 900}
+
+
+def test_hot_copies(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "HOT_ROWS", 3)
+    rows = [(i, "same text here", None, None) for i in range(8)] + [(20, "other words", None, None)]
+    got = {r.id: r.component for r in simhash.near_classes(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {i: 0 for i in range(8)} | {20: 20}
