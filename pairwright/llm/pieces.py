@@ -43,7 +43,7 @@ UNIGRAM, BPE = 1, 2
 SPACE = "▁"
 WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 #: Words that a worker remembers, and slots for pairs of pieces; both only save time.
-KEPT, PAIRS = 200_000, 1 << 20
+KEPT, PAIRS = 400_000, 1 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 BACK = np.uint64(pow(int(BASE), -1, 1 << 64))
 
@@ -377,7 +377,7 @@ def shared(model: bytes) -> Pieces:
     return held[name]
 
 
-def blocks(b: pa.RecordBatch, most: int = 2_000_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+def blocks(b: pa.RecordBatch, most: int = 4_000_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Slices of a batch with the texts of its first column, of some ``most`` bytes each."""
     first, size, found = 0, 0, []
     for i, t in enumerate(texts(b.column(0))):
