@@ -211,9 +211,13 @@ def quoted(text: str) -> str:
 
 Separator = Literal | Regex
 
+#: The characters of Unicode's white space.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def trim(text: Column) -> Column:
     """Without white space at both ends, in Unicode's sense."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+\z", "")
+    return F.btrim(text, F.lit(WHITE))
 
 
 def tokens(text: Column, multi: bool, separator: Separator) -> Column:

@@ -106,15 +106,15 @@ def file_counts(references: References, p: RulePlan, s: SourcePlan) -> DataFrame
 
 
 def look_up(df: DataFrame, key: str, multi: bool, separator, found: DataFrame, name: str) -> DataFrame:
-    """df with a column of that name: for each token of the key, in order, the token and its hit (or null).
+    """df with a column of that name: if the key is one token, its hit (or null); if it is split, for each of its
+    tokens, in order, the token and its hit.
 
     A single token is looked up by a left join, which Spark broadcasts or shuffles by the relation's size.
     Several are looked up as different tokens of the row, gathered again by row number.
     """
     if not multi:
-        right = found.select(F.col("token").alias("_t"), F.col("hit").alias("_h"))
-        joined = df.join(right, F.col(key) == F.col("_t"), "left")
-        return joined.withColumn(name, F.array(F.struct(F.col(key).alias("token"), F.col("_h").alias("hit")))).drop("_t", "_h")
+        right = found.select(F.col("token").alias("_t"), F.col("hit").alias(name))
+        return df.join(right, F.col(key) == F.col("_t"), "left").drop("_t")
     each = df.select("_row", F.explode(F.array_distinct(tokens(F.col(key), True, separator))).alias("token"))
     hits = each.join(found, "token").groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("token", "hit"))).alias("_m"))
     joined = df.join(hits, "_row", "left")

@@ -81,11 +81,23 @@ def _verdict(p: RulePlan) -> Column:
         hit = p.pattern.found(left)
         matched = left_ok & (~hit if p.compare == "not_matches" else hit)
         expected = F.lit(p.pattern.source)
+    elif not p.multi and not any(mapping.is_multi_target(p, s) for s in p.sources):
+        # One token on either side: sets of one are in any relation but "differ" if they are equal.
+        expected, want = none, left
+        if p.mapped:
+            hit = F.col(f"e{i}_0")
+            if p.sources:
+                hit, shown, left_ok = _chosen(p)
+            want = F.coalesce(hit["canonical"], F.concat(F.lit(UNMAPPED), shown))
+            expected = F.coalesce(hit["canonical"], F.concat(F.lit("<unmapped:"), shown, F.lit(">")))
+            unmapped = hit.isNull().cast("int")
+            ambiguous = F.when(hit["ambiguous"], F.array(F.struct(shown.alias("token"), hit["canonical"].alias("expected")))).otherwise(ambiguous)
+        matched = left_ok & right_ok & ((want != right) if p.compare == "ne" else (want == right))
     elif not p.mapped:
         matched = left_ok & right_ok & comparisons.compare(p.compare, comparisons.token_set(tokens(left, p.multi, p.separator)), actual)
         expected = none
     else:
-        entries, several = F.col(f"e{i}_0"), None
+        entries, several = _entries(p, 0), None
         if p.sources:
             entries, shown, key_ok, several = _decided(p)
             left_ok = key_ok
@@ -129,16 +141,40 @@ def _verdict(p: RulePlan) -> Column:
     )
 
 
+def _entries(p: RulePlan, k: int) -> Column:
+    """The tokens of source k's key with their hits."""
+    found = F.col(f"e{p.index}_{k}")
+    if p.multi:
+        return found
+    key = F.col(f"k{p.index}_{k}") if p.sources else F.col(f"l{p.index}")
+    return F.array(F.struct(key.alias("token"), found.alias("hit")))
+
+
+def _chosen(p: RulePlan) -> tuple[Column, Column, Column]:
+    """For keys of one token: hit and key of the source that decides, and whether the keys looked at on the way
+    were transformed."""
+    i, last = p.index, len(p.sources) - 1
+    looked = [F.col(f"kok{i}_0")]
+    for k in range(1, last + 1):
+        looked.append(looked[-1] & F.col(f"kok{i}_{k}"))
+    hit, key, ok = F.col(f"e{i}_{last}"), F.col(f"k{i}_{last}"), looked[last]
+    for k in range(last - 1, -1, -1):
+        mine = F.col(f"e{i}_{k}")
+        on = {"unmapped": mine.isNull(), "ambiguous": F.coalesce(mine["ambiguous"], F.lit(True)), "always": F.lit(True)}[p.sources[k].source.when]
+        hit, key, ok = F.when(on, hit).otherwise(mine), F.when(on, key).otherwise(F.col(f"k{i}_{k}")), F.when(on, ok).otherwise(looked[k])
+    return hit, key, ok
+
+
 def _decided(p: RulePlan) -> tuple[Column, Column, Column, Column | None]:
     """Of the sources in order, the one that decides: its entries and key, whether the keys looked at on the
     way were transformed, and whether it takes any of several targets."""
     i, last = p.index, len(p.sources) - 1
-    entries, key, several = F.col(f"e{i}_{last}"), F.col(f"k{i}_{last}"), F.lit(mapping.is_multi_target(p, p.sources[last]))
+    entries, key, several = _entries(p, last), F.col(f"k{i}_{last}"), F.lit(mapping.is_multi_target(p, p.sources[last]))
     ok = F.lit(True)
     for k, _ in enumerate(p.sources):
         ok = ok & F.col(f"kok{i}_{k}")
     for k in range(last - 1, -1, -1):
-        e = F.col(f"e{i}_{k}")
+        e = _entries(p, k)
         missed = F.forall(e, lambda x: x["hit"].isNull())
         unsure = F.exists(e, lambda x: F.coalesce(x["hit"]["ambiguous"], F.lit(False)))
         on = {"unmapped": missed, "ambiguous": missed | unsure, "always": F.lit(True)}[p.sources[k].source.when]

@@ -15,7 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pairwright.functions import numbers
-from pairwright.functions.patterns import Regex, quoted, trim
+from pairwright.functions.patterns import WHITE, Regex, quoted, trim
 from pairwright.plans import expression as E
 
 NULL_TEXT = lambda: F.lit(None).cast("string")
@@ -403,8 +403,8 @@ def call(name: str, args: list[Value]) -> Value:
         "split": lambda: _split(args or [null()]),
         "replace": lambda: _replace(one, two, three) if len(args) > 1 else cell(one.text),
         "trim": lambda: _mapped(one, trim),
-        "ltrim": lambda: _mapped(one, lambda c: F.regexp_replace(c, r"(?U)^\s+", "")),
-        "rtrim": lambda: _mapped(one, lambda c: F.regexp_replace(c, r"(?U)\s+\z", "")),
+        "ltrim": lambda: _mapped(one, lambda c: F.ltrim(c, F.lit(WHITE))),
+        "rtrim": lambda: _mapped(one, lambda c: F.rtrim(c, F.lit(WHITE))),
         "lower": lambda: _mapped(one, F.lower),
         "upper": lambda: _mapped(one, F.upper),
         "join": lambda: cell(F.array_join(one.items, two.const if isinstance(two.const, str) else "")) if one.items is not None else cell(one.text),
