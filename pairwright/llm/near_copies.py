@@ -8,8 +8,11 @@ share a block are verified twice: by the Hamming distance of their SimHash finge
 by the exact similarity of their shingle sets.
 
 Equal texts are one class from the start. Within a block every text meets the ``REACH`` before it in order
-of size, and so all of them in blocks of up to that many; the pairs grow with the texts, never with the
-square of a group. Blocks are dealt by range, so that a large one spreads over tasks.
+of size, and so all of them in blocks of one more than that. What this links is one group from then on. In
+larger blocks every text then meets those of all other groups: the block is cut into parts of ``PART`` texts
+or so, a group that is larger than a part into parts of its own, and each two parts that can hold texts of
+different groups are a task's work, as one product of matrices. So every pair that shares a block is verified,
+or in one group already, and a large group of near copies costs no square of its size.
 
 Of each group of texts that links join, the row with the smallest id stays. Defined results: a null text
 counts as empty; texts without words are one group; texts of fewer words than a shingle are their own only
@@ -35,6 +38,7 @@ SIMILARITY = 0.8
 BANDS, ROWS = 14, 4
 NEAR_BITS = 22
 REACH = 12
+PART = 128
 
 _rng = np.random.default_rng(11)
 FACTORS = _rng.integers(1, 1 << 63, BANDS * ROWS).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -129,6 +133,89 @@ def _verified(least: float):
     return run
 
 
+def overlaps(a: list[np.ndarray], b: list[np.ndarray] | None, width: int = 4_096) -> np.ndarray:
+    """How many members each set of a has in common with each of b, or of a if b is None."""
+    every = a + (b or [])
+    owner = np.repeat(np.arange(len(every)), [len(x) for x in every])
+    _, column, times = np.unique(np.concatenate(every), return_inverse=True, return_counts=True)
+    shared = np.cumsum(times > 1) - 1
+    use = times[column] > 1
+    owner, column = owner[use], shared[column[use]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    out = np.zeros((len(a), len(b if b is not None else a)))
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        i, j = np.searchsorted(column, (low, low + width))
+        has = np.zeros((len(every), width), np.float32)
+        has[owner[i:j], column[i:j] - low] = 1
+        out += has[: len(a)] @ (has[len(a) :] if b is not None else has).T
+    if b is None:
+        np.fill_diagonal(out, [len(x) for x in a])
+    return out
+
+
+def forest(pairs: np.ndarray) -> list[tuple[int, int]]:
+    """Those of the pairs that join all that the pairs join, without circles."""
+    above: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (up := above.get(x, x)) != x:
+            above[x] = x = above.get(up, up)
+        return x
+
+    found = []
+    for a, b in pairs.tolist():
+        x, y = top(a), top(b)
+        if x != y:
+            above[x] = y
+            found.append((a, b))
+    return found
+
+
+def _tile(least: float):
+    """Over the rows of two parts (or of one): links between the groups of texts that are similar."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        side = rows.column("side").to_numpy()
+        root = rows.column("root").to_numpy()
+        sets = [np.frombuffer(x, np.uint32) for x in texts(rows.column("set"))]
+        x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        two = len(x) and len(y)
+        common = overlaps([sets[i] for i in x], [sets[i] for i in y]) if two else overlaps(sets, None)
+        x, y = (x, y) if two else (np.arange(len(sets)), np.arange(len(sets)))
+        n = np.array([len(s) for s in sets])
+        every = n[x][:, None] + n[y][None] - common
+        near = (common / np.maximum(every, 1) >= least) | (every == 0)
+        i, j = np.nonzero(near & (root[x][:, None] != root[y][None]))
+        a, b = root[x[i]], root[y[j]]
+        links = forest(np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0))
+        return pa.table({"a": pa.array([u for u, _ in links], pa.int64()), "b": pa.array([v for _, v in links], pa.int64())})
+
+    return run
+
+
+def between_groups(members: DataFrame, sets: DataFrame, least: float, part: int = PART) -> DataFrame:
+    """a, b: links between the groups of members (band, block, class, root) for each two texts of one block
+    and different groups that are similar."""
+    block = ["band", "block"]
+    sizes = stored(members.groupBy(*block, "root").agg(F.count("*").alias("size")))
+    several = sizes.groupBy(*block).agg(F.count("*").alias("roots")).where("roots > 1").select(*block)
+    own = F.when(F.col("size") > part, F.col("root"))  # null: with other small groups
+    heaps = sizes.join(several, block, "left_semi").withColumn("own", own).groupBy(*block, "own").agg(F.ceil(F.sum("size") / part).alias("parts"))
+    heaps = stored(heaps.withColumn("heap", F.xxhash64(F.col("own").isNull(), F.coalesce("own", F.lit(0)))))
+    parts = heaps.select(*block, "own", "heap", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    x, y = (parts.select(*block, F.col("own").alias(f"own_{s}"), F.struct("heap", "part").alias(s)) for s in "xy")
+    tiles = stored(x.join(y, block).where("x <= y and (own_x is null or own_y is null or own_x <> own_y)").select(*block, "x", "y"))
+    here = lambda s, k: F.struct(F.col(f"{s}.heap").alias("heap"), F.col(f"{s}.part").alias("part"), F.lit(k).alias("side"))
+    both = F.when(F.col("x") == F.col("y"), F.array(here("x", 0))).otherwise(F.array(here("x", 0), here("y", 1)))
+    sides = tiles.select(*block, "x", "y", F.explode(both).alias("at")).select(*block, "x", "y", "at.heap", "at.part", "at.side")
+    placed = members.join(small(sizes.where(F.col("size") > part)).select(*block, "root", F.col("root").alias("own")), [*block, "root"], "left")
+    placed = placed.withColumn("heap", F.xxhash64(F.col("own").isNull(), F.coalesce("own", F.lit(0)))).drop("own")
+    placed = placed.join(small(heaps.select(*block, "heap", "parts")), [*block, "heap"]).withColumn("part", F.pmod(F.xxhash64("class"), "parts"))
+    dealt = placed.join(small(stored(sides)), [*block, "heap", "part"]).select(*block, "x", "y", "side", "class", "root").join(sets, "class")
+    return dealt.groupBy(*block, "x", "y").applyInArrow(_tile(least), "a long, b long")
+
+
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, least: float = SIMILARITY) -> DataFrame:
     """The rows of docs that stay: one of each group of near copies."""
     cls = F.xxhash64(utf8(text_col), F.length(utf8(text_col)))
@@ -141,12 +228,18 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     filed = classes.select(F.posexplode("blocks").alias("band", "block"), F.col("n").cast("long").alias("n"), "class", "fp")
     dealt = filed.repartitionByRange("band", "block", "n", "class").sortWithinPartitions("band", "block", "n", "class")
     pairs = stored(dealt.mapInArrow(_pairs(least), "a long, b long").distinct())
-    asked = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
+    crowded = stored(filed.groupBy("band", "block").count().where(F.col("count") > REACH + 1).select("band", "block"))
+    crowd = stored(filed.join(small(crowded), ["band", "block"], "left_semi").select("band", "block", "class"))
+    asked = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).union(crowd.select("class")).distinct()
     one = small(stored(classes.join(asked, "class").select("first.key")))
     sets = stored(rows.join(one, "key").dropDuplicates(["key"]).select("class", "t").mapInArrow(_sets(shingle), "class long, set binary"))
     with_a = pairs.join(sets.select(F.col("class").alias("a"), F.col("set").alias("x")), "a")
     with_b = with_a.join(sets.select(F.col("class").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y")
     roots = components(with_b.mapInArrow(_verified(least), "a long, b long")).withColumnRenamed("node", "class")
+    members = stored(crowd.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class")))
+    more = stored(between_groups(members, sets, least))
+    if not more.isEmpty():
+        roots = components(more.union(roots.select(F.col("class").alias("a"), F.col("root").alias("b")))).withColumnRenamed("node", "class")
     grouped = classes.select("class", "first").join(roots, "class", "left").select("class", "first", F.coalesce("root", "class").alias("root"))
     stays = grouped.groupBy("root").agg(F.min("first").alias("stays"))
     of = grouped.join(stays, "root").select("class", F.col("stays.key").alias("stays"))

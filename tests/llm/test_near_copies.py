@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from pairwright.llm import near_copies
 
 SCHEMA = "doc_id long, text string, key string, fp string, n string"
@@ -81,5 +83,35 @@ def test_large_groups_make_few_pairs(spark):
     assert [r.doc_id for r in got] == [0]
 
 
+def family(rng, size, planted, n=400, own=46):
+    """Texts that share a long passage but are no near copies (0.79), and copies of some that are (0.85)."""
+    word = lambda: f"{rng.randrange(10**9):x}"
+    passage = [word() for _ in range(n - own)]
+    rows = [(i, " ".join(passage + [word() for _ in range(own + rng.randrange(3))])) for i in range(size)]
+    for k in range(planted):
+        words = rows[k * (size // planted)][1].split()
+        at = len(words) - 32
+        rows.append((size + k, " ".join(words[:at] + [word() for _ in range(32 + rng.randrange(2))])))
+    return rows
+
+
+def test_pairs_in_a_large_family_are_found(spark):
+    rows = family(random.Random(4), 600, 30)
+    sets = [shingles(t) for _, t in rows]
+    assert max(len(sets[0] & s) / len(sets[0] | s) for s in sets[1:600]) < 0.8
+    held = len(brute(rows))
+    assert 570 <= held <= 600
+    got = near_copies.drop_near_copies(spark.createDataFrame([(*r, None, None, None) for r in rows], SCHEMA)).collect()
+    assert sorted(r.doc_id for r in got) == brute(rows)
+
+
+def test_overlaps_equal_set_operations():
+    rng = random.Random(5)
+    sets = [sorted(rng.sample(range(40), rng.randrange(20))) for _ in range(12)]
+    a = [np.array(s, np.uint32) for s in sets]
+    assert near_copies.overlaps(a[:5], a[5:], 7).tolist() == [[len(set(x) & set(y)) for y in sets[5:]] for x in sets[:5]]
+    assert near_copies.overlaps(a, None, 7).tolist() == [[len(set(x) & set(y)) for y in sets] for x in sets]
+
+
 def test_empty(spark):
     assert near_copies.drop_near_copies(spark.createDataFrame([], SCHEMA)).count() == 0
