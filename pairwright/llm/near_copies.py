@@ -4,8 +4,8 @@ Texts whose sets of 5-word shingles overlap by 0.8 (Jaccard) differ in 7 to 18 o
 blocks that find pairs within 3 bits see a tenth of them. So the blocks here are of another kind: each is a
 fingerprint of the shingles that are smallest under ``ROWS`` hash functions, which similar texts choose
 alike, and ``BANDS`` such blocks let a pair of 0.8 pass with a chance of one in 1,500 to miss all. Pairs that
-share a block are verified twice: by the Hamming distance of their SimHash fingerprints, which is cheap, and
-by the exact similarity of their shingle sets.
+share a block are verified twice: by the least difference that the parities of their shingle sets leave open,
+which is cheap and turns away no pair that is similar, and by the exact similarity of the sets.
 
 Equal texts are one class from the start. Within a block every text meets the ``REACH`` before it in order
 of size, and so all of them in blocks of one more than that. What this links is one group from then on. In
@@ -31,12 +31,11 @@ from pyspark.sql import functions as F
 
 from pairwright.llm.common import HOT_ROWS, join_groups, small, stored, text_batches, texts, utf8
 from pairwright.llm.components import components
-from pairwright.llm.simhash import fingerprint, shingle_hashes
+from pairwright.llm.simhash import shingle_hashes
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 14, 4
-NEAR_BITS = 22
 REACH = 12
 PART = 128
 
@@ -59,6 +58,11 @@ def bands(hashes: np.ndarray, chunk: int = 4_096) -> np.ndarray:
     return keys
 
 
+def parity(hashes: np.ndarray) -> np.uint64:
+    """Bit k: whether an odd number of the hashes end in k. Sets differ by at least as many members as bits."""
+    return np.bitwise_xor.reduce(np.uint64(1) << (hashes & np.uint64(63)))
+
+
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
     """The share of common ones among all different ones; 1 for two empty sets. Both sorted, without repeats."""
     if not len(a) and not len(b):
@@ -73,8 +77,8 @@ def _prints(shingle: int):
             fps, sizes, keys = [], [], []
             for t in texts(b.column(3)):
                 every = shingle_hashes(t, shingle)
-                fps.append(fingerprint(every))
                 once = np.unique(every)
+                fps.append(parity(once))
                 sizes.append(len(once))
                 keys.append(bands(once))
             flat = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
@@ -101,7 +105,8 @@ def _pairs(least: float):
                 same[: max(0, skip - lag)] = False  # met before
                 same &= n[:-lag] >= least * n[lag:]
                 at = np.flatnonzero(same)
-                at = at[np.bitwise_count(bits[at] ^ bits[at + lag]) <= NEAR_BITS]
+                differ = (n[at] + n[at + lag]) * (1 - least) / (1 + least) + 1e-6
+                at = at[np.bitwise_count(bits[at] ^ bits[at + lag]) <= differ]
                 left.append(cls[at])
                 right.append(cls[at + lag])
             if left:

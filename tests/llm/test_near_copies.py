@@ -105,6 +105,29 @@ def test_pairs_in_a_large_family_are_found(spark):
     assert sorted(r.doc_id for r in got) == brute(rows)
 
 
+def footers(rng, pairs=12):
+    """Texts, and each with a line of its words that is repeated 50 times (0.89 by sets)."""
+    rows = []
+    for k in range(pairs):
+        words = [f"{rng.randrange(10**9):x}" for _ in range(104)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words + words[10:22] * 50))]
+    return rows
+
+
+def test_repeated_footers_are_near_copies(spark):
+    rows = footers(random.Random(6))
+    assert brute(rows) == list(range(0, 24, 2))
+    got = near_copies.drop_near_copies(spark.createDataFrame([(*r, None, None, None) for r in rows], SCHEMA)).collect()
+    assert sorted(r.doc_id for r in got) == brute(rows)
+
+
+def test_parity_bounds_the_difference():
+    rng = np.random.default_rng(7)
+    for _ in range(200):
+        a, b = (np.unique(rng.integers(0, 60, rng.integers(0, 50)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for _ in "ab")
+        assert np.bitwise_count(near_copies.parity(a) ^ near_copies.parity(b)) <= len(np.setxor1d(a, b))
+
+
 def test_overlaps_equal_set_operations():
     rng = random.Random(5)
     sets = [sorted(rng.sample(range(40), rng.randrange(20))) for _ in range(12)]
