@@ -8,8 +8,8 @@ share a block are verified twice: by the least difference that the parities of t
 which is cheap and turns away no pair that is similar, and by the exact similarity of the sets.
 
 Equal texts are one class from the start. Within a block every text meets the ``REACH`` before it in order
-of size, and so all of them in blocks of one more than that. What this links is one group from then on. In
-larger blocks every text then meets those of all other groups: the block is cut into parts of ``PART`` texts
+of size, and so all of them in blocks of one more than that, which stay whole in one task; larger ones are
+dealt by range, and may be cut anywhere. What this links is one group from then on. In larger blocks every text then meets those of all other groups: the block is cut into parts of ``PART`` texts
 or so, a group that is larger than a part into parts of its own, and each two parts that can hold texts of
 different groups are a task's work, as one product of matrices. So every pair that shares a block is verified,
 or in one group already, and a large group of near copies costs no square of its size.
@@ -231,17 +231,20 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("first")
     classes = stored(prints.groupBy("class").agg(first, F.min("fp").alias("fp"), F.min("n").alias("n"), F.min("blocks").alias("blocks"), F.count("*").alias("rows")))
     filed = classes.select(F.posexplode("blocks").alias("band", "block"), F.col("n").cast("long").alias("n"), "class", "fp")
-    dealt = filed.repartitionByRange("band", "block", "n", "class").sortWithinPartitions("band", "block", "n", "class")
-    pairs = stored(dealt.mapInArrow(_pairs(least), "a long, b long").distinct())
-    crowded = stored(filed.groupBy("band", "block").count().where(F.col("count") > REACH + 1).select("band", "block"))
-    crowd = stored(filed.join(small(crowded), ["band", "block"], "left_semi").select("band", "block", "class"))
+    crowded = small(stored(filed.groupBy("band", "block").count().where(F.col("count") > REACH + 1).select("band", "block")))
+    order = ["band", "block", "n", "class"]
+    whole = filed.join(crowded, order[:2], "left_anti").repartition("band", "block").sortWithinPartitions(*order)
+    crowd = stored(filed.join(crowded, order[:2], "left_semi"))
+    cut = crowd.repartitionByRange(*order).sortWithinPartitions(*order)
+    near = [x.select("band", "block", "n", "class", "fp").mapInArrow(_pairs(least), "a long, b long") for x in (whole, cut)]
+    pairs = stored(near[0].union(near[1]).distinct())
     asked = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).union(crowd.select("class")).distinct()
     one = small(stored(classes.join(asked, "class").select("first.key")))
     sets = stored(rows.join(one, "key").dropDuplicates(["key"]).select("class", "t").mapInArrow(_sets(shingle), "class long, set binary"))
     with_a = pairs.join(sets.select(F.col("class").alias("a"), F.col("set").alias("x")), "a")
     with_b = with_a.join(sets.select(F.col("class").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y")
     roots = components(with_b.mapInArrow(_verified(least), "a long, b long")).withColumnRenamed("node", "class")
-    members = stored(crowd.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class")))
+    members = stored(crowd.select("band", "block", "class").join(roots, "class", "left").withColumn("root", F.coalesce("root", "class")))
     more = stored(between_groups(members, sets, least))
     if not more.isEmpty():
         roots = components(more.union(roots.select(F.col("class").alias("a"), F.col("root").alias("b")))).withColumnRenamed("node", "class")

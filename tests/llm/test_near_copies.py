@@ -3,6 +3,7 @@ import random
 import numpy as np
 
 from pairwright.llm import near_copies
+from pairwright.llm.simhash import shingle_hashes
 
 SCHEMA = "doc_id long, text string, key string, fp string, n string"
 
@@ -128,6 +129,33 @@ def test_parity_bounds_the_difference():
         assert np.bitwise_count(near_copies.parity(a) ^ near_copies.parity(b)) <= len(np.setxor1d(a, b))
 
 
+def one_band_pairs(rng, pairs=40):
+    """Near copies that share a block in one of the bands only."""
+    rows = []
+    while len(rows) < 2 * pairs:
+        a = [f"{rng.randrange(10**9):x}" for _ in range(104)]
+        b = a[:93] + [f"{rng.randrange(10**9):x}" for _ in range(11)]
+        keys = [near_copies.bands(np.unique(shingle_hashes(" ".join(x).encode(), 5))) for x in (a, b)]
+        if (keys[0] == keys[1]).sum() == 1:
+            rows += [(len(rows), " ".join(a)), (len(rows) + 1, " ".join(b))]
+    return rows
+
+
+def test_pairs_of_one_block_meet_with_many_partitions(spark):
+    rows = one_band_pairs(random.Random(8))
+    assert brute(rows) == list(range(0, 80, 2))
+    names = {"spark.sql.shuffle.partitions": "200", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        got = near_copies.drop_near_copies(spark.createDataFrame([(*r, None, None, None) for r in rows], SCHEMA)).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted(r.doc_id for r in got) == brute(rows)
+
+
 def test_overlaps_equal_set_operations():
     rng = random.Random(5)
     sets = [sorted(rng.sample(range(40), rng.randrange(20))) for _ in range(12)]
