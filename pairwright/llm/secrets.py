@@ -1,7 +1,10 @@
 """Secret scans: fixed patterns, and guess costs of values that stand where credentials do.
 
 The base kinds are patterns. The method's own kind, ``guess``, covers what they don't: values after
-other credential words (pwd, passphrase, auth, client secret, bearer, ...), whose guess cost is high.
+other credential words (pwd, passphrase, auth, secret key, bearer, ...) or after those of the base kind but with
+characters that its pattern does not take, whose guess cost is high. Where a base kind ends before such a value
+does, the guess covers the whole of it whatever the cost; only commas, brackets and the like that close a value
+without quotes are the text's.
 The guess cost is the least number of guesses, as a power of ten, over all ways to cut the value into
 words of a list, dates, repeats, keyboard walks and brute-force spans: ``cost[j]`` is the least of
 ``cost[i] + cost of value[i:j]``, with a small charge for each further piece, since a guesser must
@@ -17,8 +20,9 @@ from __future__ import annotations
 
 import math
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -32,12 +36,13 @@ ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 HEX = re.compile(rb"[0-9a-f]{32,}")
 ASSIGN_WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 
-#: Credential words beside those of the base kind. The value may hold any printable ASCII but quotes.
+#: Credential words, those of the base kind too. The value may hold any printable ASCII but quotes.
 CONTEXT = re.compile(
-    rb"""(?i:pass[-_\x20]?phrase|pass[-_]?code|pwd|credentials?|private[-_]?key|access[-_]?key|client[-_]?key|auth[-_]?key|authorization|bearer|account[-_]?key|signing[-_]?key|encryption[-_]?key)"""
-    rb"""["']?\x20*(?:[:=]|=>)\x20*(?:(?i:bearer|basic)\x20+)?["']?([\x21\x23-\x26\x28-\x7e]{8,})"""
+    rb"""(?i:pass[-_\x20]?phrase|pass[-_]?code|password|passwd|(?<!com)(?<!by)(?<!sur)(?<!tres)pass|pwd|credentials?|secret(?:[-_]?(?:access[-_]?)?key)?|token|api[-_]?key|private[-_]?key|access[-_]?key|client[-_]?key|auth(?:[-_]?key|orization)?|bearer|account[-_]?key|signing[-_]?key|encryption[-_]?key)"""
+    rb"""["']?\x20*(?:[:=]|=>)\x20*(?:(?i:bearer|basic)\x20+)?(["']?)([\x21\x23-\x26\x28-\x7e]{8,})"""
 )
-CONTEXT_WORDS = (b"phrase", b"code", b"pwd", b"credential", b"key", b"authorization", b"bearer")
+CONTEXT_WORDS = (b"pass", b"pwd", b"credential", b"secret", b"token", b"api", b"private", b"access", b"client", b"auth", b"bearer", b"account", b"signing", b"encryption")
+CLOSING = b",;:)]}>"
 
 #: Words that guessers try first, most likely first.
 WORDS = """password admin welcome letmein secret master monkey dragon login qwerty test user root guest
@@ -178,15 +183,19 @@ def scan(text: bytes, strong: float = STRONG) -> list[tuple[int, int, int, float
     if b"AKIA" in text:
         spans += [(m.start(), 1, m.end(), 0.0) for m in ACCESS.finditer(text) if m.end() - m.start() >= 16]
     spans += [(m.start(), 2, m.end(), 0.0) for m in HEX.finditer(text)]
-    if any(w in low for w in CONTEXT_WORDS):
-        taken = sorted((s[0], s[2]) for s in spans)
-        for m in CONTEXT.finditer(text):
-            k = bisect_left(taken, (m.end(1), 0))
-            if any(e > m.start(1) for _, e in taken[max(0, k - 8) : k]):
-                continue
-            cost = guess_cost(m[1].decode())
-            if cost >= strong:
-                spans.append((m.start(), 3, m.end(), cost))
+    taken, end = sorted((s[0], s[2]) for s in spans), 0
+    reach = list(accumulate((e for _, e in taken), max))
+    for i in _starts(low, CONTEXT_WORDS):
+        if i < end or not (m := CONTEXT.match(text, i)):
+            continue
+        end = m.end()
+        inside = [(s, e) for s, e in taken[bisect_right(reach, m.start(2)) : bisect_left(taken, (end, 0))] if e > m.start(2)]
+        covered = max((e for s, e in inside if s <= m.start(2)), default=0)
+        if covered >= end or covered and not m[1] and not text[covered:end].strip(CLOSING):
+            continue
+        cost = guess_cost(m[2].decode())
+        if inside or cost >= strong:
+            spans.append((i, 3, end, cost))
     return sorted(spans)
 
 
