@@ -11,7 +11,7 @@ Equal texts are one class from the start. Within a block every text meets the ``
 of size, and so all of them in blocks of one more than that, which stay whole in one task; larger ones are
 dealt by range, and may be cut anywhere. What this links is one group from then on. In larger blocks every text then meets those of all other groups: the block is cut into parts of ``PART`` texts
 or so, a group that is larger than a part into parts of its own, and each two parts that can hold texts of
-different groups are a task's work, as one product of matrices. So every pair that shares a block is verified,
+different groups are a task's work, counted by bit maps of their common shingles. So every pair that shares a block is verified,
 or in one group already, and a large group of near copies costs no square of its size.
 
 Of each group of texts that links join, the row with the smallest id stays. Defined results: a null text
@@ -138,7 +138,7 @@ def _verified(least: float):
     return run
 
 
-def overlaps(a: list[np.ndarray], b: list[np.ndarray] | None, width: int = 4_096) -> np.ndarray:
+def overlaps(a: list[np.ndarray], b: list[np.ndarray] | None) -> np.ndarray:
     """How many members each set of a has in common with each of b, or of a if b is None."""
     every = a + (b or [])
     owner = np.repeat(np.arange(len(every)), [len(x) for x in every])
@@ -148,12 +148,12 @@ def overlaps(a: list[np.ndarray], b: list[np.ndarray] | None, width: int = 4_096
     owner, column = owner[use], shared[column[use]]
     order = np.argsort(column, kind="stable")
     owner, column = owner[order], column[order]
-    out = np.zeros((len(a), len(b if b is not None else a)))
-    for low in range(0, int(column[-1]) + 1 if len(column) else 0, width):
-        i, j = np.searchsorted(column, (low, low + width))
-        has = np.zeros((len(every), width), np.float32)
-        has[owner[i:j], column[i:j] - low] = 1
-        out += has[: len(a)] @ (has[len(a) :] if b is not None else has).T
+    out = np.zeros((len(a), len(b if b is not None else a)), np.int64)
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, 64):
+        i, j = np.searchsorted(column, (low, low + 64))
+        has = np.zeros(len(every), np.uint64)
+        np.bitwise_or.at(has, owner[i:j], np.uint64(1) << (column[i:j] - low).astype(np.uint64))
+        out += np.bitwise_count(has[: len(a), None] & (has[len(a) :] if b is not None else has)[None])
     if b is None:
         np.fill_diagonal(out, [len(x) for x in a])
     return out
@@ -246,9 +246,10 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     roots = components(with_b.mapInArrow(_verified(least), "a long, b long")).withColumnRenamed("node", "class")
     members = stored(crowd.select("band", "block", "class").join(roots, "class", "left").withColumn("root", F.coalesce("root", "class")))
     more = stored(between_groups(members, sets, least))
-    if not more.isEmpty():
-        roots = components(more.union(roots.select(F.col("class").alias("a"), F.col("root").alias("b")))).withColumnRenamed("node", "class")
     grouped = classes.select("class", "first").join(roots, "class", "left").select("class", "first", F.coalesce("root", "class").alias("root"))
+    if not more.isEmpty():
+        further = small(stored(components(more).select(F.col("node").alias("root"), F.col("root").alias("top"))))
+        grouped = grouped.join(further, "root", "left").select("class", "first", F.coalesce("top", "root").alias("root"))
     stays = grouped.groupBy("root").agg(F.min("first").alias("stays"))
     of = grouped.join(stays, "root").select("class", F.col("stays.key").alias("stays"))
     hot = stored(classes.where(F.col("rows") > HOT_ROWS).select("class"))

@@ -158,10 +158,10 @@ def test_pairs_of_one_block_meet_with_many_partitions(spark):
 
 def test_overlaps_equal_set_operations():
     rng = random.Random(5)
-    sets = [sorted(rng.sample(range(40), rng.randrange(20))) for _ in range(12)]
+    sets = [sorted(rng.sample(range(200), rng.randrange(120))) for _ in range(12)]
     a = [np.array(s, np.uint32) for s in sets]
-    assert near_copies.overlaps(a[:5], a[5:], 7).tolist() == [[len(set(x) & set(y)) for y in sets[5:]] for x in sets[:5]]
-    assert near_copies.overlaps(a, None, 7).tolist() == [[len(set(x) & set(y)) for y in sets] for x in sets]
+    assert near_copies.overlaps(a[:5], a[5:]).tolist() == [[len(set(x) & set(y)) for y in sets[5:]] for x in sets[:5]]
+    assert near_copies.overlaps(a, None).tolist() == [[len(set(x) & set(y)) for y in sets] for x in sets]
 
 
 def test_empty(spark):
