@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairwright.llm.common import table, text_batches, texts, utf8
+from pairwright.llm.common import released, table, text_batches, texts, utf8
 
 BLOCK = 64
 RATE = 16_000
@@ -165,7 +165,7 @@ def media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                 raw = list(texts(part.column(1)))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(len, raw), pa.int64()), pa.array([encode_wav(payload(t)) for t in raw], pa.binary())], names=["id", "n_bytes", "media"])
 
-    return text_batches(docs).select(F.col(id_col).alias("id"), utf8(text_col).alias("t")).mapInArrow(run, f"id {kind}, n_bytes long, media binary")
+    return text_batches(docs).select(F.col(id_col).alias("id"), utf8(text_col).alias("t")).mapInArrow(released(run), f"id {kind}, n_bytes long, media binary")
 
 
 def _slices(b: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
@@ -189,7 +189,7 @@ def digests(clips: DataFrame) -> DataFrame:
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(list(c), k) for c, k in zip(cols, kinds)]], names=["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
-    return clips.select("id", "n_bytes", "media").mapInArrow(run, out)
+    return clips.select("id", "n_bytes", "media").mapInArrow(released(run), out)
 
 
 def windows(samples: bytes) -> list[tuple[float, float, np.ndarray]]:
@@ -226,7 +226,7 @@ def tensors(clips: DataFrame) -> DataFrame:
                     mel = part.column(2).storage
                     yield pa.RecordBatch.from_arrays([pa.array([b.column(0)[i].as_py()] * part.num_rows, b.column(0).type), part.column(0), part.column(1), mel.cast(pa.list_(pa.float32()))], names=["id", "start", "end", "mel"])
 
-    return clips.select("id", "media").mapInArrow(run, f"id {kind}, start double, end double, mel array<float>")
+    return clips.select("id", "media").mapInArrow(released(run), f"id {kind}, start double, end double, mel array<float>")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Iterator
 
@@ -9,30 +10,71 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, StructType
 
-#: Rows up to which a small side of a join is broadcast; beyond it the join shuffles.
+#: Rows, and bytes of their cells, up to which a small side of a join is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: the one the session names in spark.checkpoint.dir. Only a
-    session without one (tests, a laptop) gets a temporary folder."""
+    local session without one (tests, a laptop) gets a temporary folder; on a cluster that is an error."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="pairwright-"))
     return sc.getCheckpointDir()
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of intermediate results, on whatever file system it is."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """df, written once to the shared folder, with its lineage cut."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most that many rows, else as it is. df should be stored."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if it has at most that many rows and bytes, else as it is. df should be stored."""
+    wide = [f.name for f in df.schema if isinstance(f.dataType, (StringType, BinaryType, ArrayType, MapType, StructType))]
+    size = F.lit(8 * len(df.columns))
+    if wide:
+        size = size + F.length(F.to_json(F.struct(*[F.col(quoted(c)) for c in wide])))
+    found = df.limit(rows + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first()
+    return F.broadcast(df) if found["n"] <= rows and found["bytes"] <= most else df
+
+
+def quoted(name: str) -> str:
+    """A column's name as an expression, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def columns(names: list[str]) -> list[Column]:
+    return [F.col(quoted(c)) for c in names]
+
+
+def fresh(taken: list[str], *wanted: str) -> list[str]:
+    """The wanted names, with underscores in front until no column has them."""
+    low, out = {c.lower() for c in taken}, []
+    for name in wanted:
+        while name.lower() in low:
+            name = "_" + name
+        low.add(name.lower())
+        out.append(name)
+    return out
+
+
+def schema_of(df: DataFrame, names: list[str], *more: str) -> str:
+    """DDL of the named columns of df, and of more."""
+    kinds = dict(df.dtypes)
+    return ", ".join([*(f"{quoted(c)} {kinds[c]}" for c in names), *more])
 
 
 #: Rows of one key from which on a join leaves them where they are.
@@ -62,9 +104,34 @@ def text_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def give_back() -> None:
+    """Returns the memory that a task of a worker has freed to the system; workers live on after their tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not this C library
+        pass
+
+
+def released(run):
+    """run, a function of batches, that gives memory back in the end."""
+
+    def all_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return all_of
+
+
+def row_hash(df: DataFrame, seed: int = 0) -> Column:
+    """A hash of all columns of a row."""
+    plain = lambda f: F.to_json(F.col(quoted(f.name))) if "map<" in f.dataType.simpleString() else F.col(quoted(f.name))
+    return F.xxhash64(F.lit(seed), *map(plain, df.schema.fields))
+
+
 def utf8(column: str | Column) -> Column:
     """The text as bytes, null as no bytes."""
-    c = F.col(column) if isinstance(column, str) else column
+    c = F.col(quoted(column)) if isinstance(column, str) else column
     return F.coalesce(c.cast("binary"), F.lit(b""))
 
 

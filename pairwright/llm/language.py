@@ -10,11 +10,13 @@ reruns agree.
 
 Defined results: ``und`` with score 0 for a null text, a text without a letter, or if no language was
 learned; the language, source and id of a row are never looked at when it is predicted; repeated rows
-stay as rows; an empty table gives no rows.
+stay as rows; columns of other names have no effect; equal hashes in the sample go by text; a text of any
+length is read whole; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pairwright.llm.common import table, text_batches, texts, utf8
+from pairwright.llm.common import fresh, released, small, stored, table, text_batches, texts, utf8
 
 WINDOW = 256
 WIDE = 5
@@ -131,14 +133,27 @@ def _gradients(net: Network, x: np.ndarray, y: np.ndarray, mask: np.ndarray) ->
     return {"embed": d_embed, "filters": d_filters, "bias": d_top.sum(axis=0), "out": hidden.T @ p, "out_bias": p.sum(axis=0)}
 
 
+def least_hashes(rows: DataFrame, by: str, each: int, order: list[str]) -> DataFrame:
+    """Of each value of ``by`` the ``each`` rows that come first in that order, which begins with a hash.
+
+    Hashes beyond some threshold, by the number of rows, can't be among them and go first, so that what is
+    ranked in one task is bounded, whatever the number of rows.
+    """
+    counts = small(stored(rows.groupBy(by).agg(F.count("*").alias("rows"))))
+    share = F.least(F.lit(1.0), (each + 8 * math.sqrt(each) + 100) / F.col("rows"))
+    low = rows.join(counts, by).where(F.col(order[0]).cast("double") <= -(2.0**63) + share * 2.0**64).drop("rows")
+    n = F.row_number().over(Window.partitionBy(by).orderBy(*order))
+    (name,) = fresh(rows.columns, "n")
+    return low.withColumn(name, n).where(F.col(name) <= each).select(rows.columns)
+
+
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> Network | None:
     """A network for the languages of the labelled rows (non-null language and text with a letter)."""
     rows = labelled.where(F.col(lang_col).isNotNull() & has_letter(F.col(text_col)))
     h = F.xxhash64(F.col(id_col), F.char_length(text_col))
     start = F.pmod(h, F.greatest(F.char_length(text_col) - WINDOW // 2, F.lit(1))) + 1
     rows = rows.select(F.col(lang_col).alias("lang"), h.alias("h"), F.substr(F.col(text_col), start.cast("int"), F.lit(WINDOW)).alias("piece"))
-    n = F.row_number().over(Window.partitionBy("lang").orderBy("h", "piece"))
-    chosen = rows.withColumn("n", n).where(F.col("n") <= per_language).drop("n").collect()  # per_language rows a language at most
+    chosen = least_hashes(rows, "lang", per_language, ["h", "piece"]).collect()  # per_language rows a language at most
     chosen.sort(key=lambda r: (r.h, r.lang, r.piece))
     return train([(r.piece.encode()[:WINDOW], r.lang) for r in chosen])
 
@@ -178,7 +193,7 @@ def predict(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_c
                     yield block(b.column(0).slice(at, len(part)), part, letter[at : at + len(part)])
                     at, size, part = i + 1, 0, []
 
-    return rows.mapInArrow(run, f"id {kind}, lang_pred string, score double")
+    return rows.mapInArrow(released(run), f"id {kind}, lang_pred string, score double")
 
 
 def held_out(id_col: str, folds: int, fold: int) -> Column:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pairwright.llm.common import small, stored, table, text_batches, texts, utf8
+from pairwright.llm.common import released, small, stored, table, text_batches, texts, utf8
 
 K = 3
 APART = 3
@@ -113,7 +113,7 @@ def grams(keyed: DataFrame, k: int = K) -> DataFrame:
         i = np.concatenate([np.arange(s, s + len(h), dtype=np.int64) for _, s, h in at])
         return pa.RecordBatch.from_arrays([pa.array(key), pa.array(i), pa.array(np.concatenate([h for *_, h in at]).view(np.int64))], names=["key", "i", "gram"])
 
-    return keyed.mapInArrow(run, "key long, i long, gram long")
+    return keyed.mapInArrow(released(run), "key long, i long, gram long")
 
 
 def template_grams(spark: SparkSession, templates: dict[str, str], k: int = K) -> DataFrame:
@@ -205,7 +205,7 @@ def licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", te
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), pa.array(places_, base), pa.array(spans, shape)], names=["id", "n_words", "base", "spans"])
 
     out = f"id {kind}, n_words long, base array<struct<word:long,label:string>>, spans array<struct<template:string,start:long,end:long,share:double>>"
-    return keyed.join(small(likely), "key", "left").select("id", "t", "likely").mapInArrow(run, out)
+    return keyed.join(small(likely), "key", "left").select("id", "t", "likely").mapInArrow(released(run), out)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,9 +14,13 @@ source. Those land: of all joint distributions that keep both probabilities, the
 expected error in tokens is drawn from. Draws come from a hash of the row, never from a generator's
 state, so that reruns and other partitionings agree.
 
+Rows are told apart by 128 bits of hashes; in ``take`` these are of all columns, so that rows that repeat are alike in all
+of them.
+
 Defined results: a null text has no words; rows without words take part with size 0 and are never
-taken; a null source is a source of its own, last in order; repeated rows are rows of their own; an
-empty table gives an empty mix.
+taken; a text of any length counts whole; a null source is a source of its own, last in order; repeated rows
+are rows of their own; rows of equal hashes go by size and id; columns of any name stay as they are; an empty
+table gives an empty mix.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pairwright.llm.common import small, stored, table
+from pairwright.llm.common import columns, fresh, quoted, row_hash, small, stored, table
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
@@ -205,11 +209,12 @@ def _blocks(df: DataFrame, block: int) -> DataFrame:
     return df.join(c, F.col("source").eqNullSafe(F.col("of"))).withColumn("block", F.pmod("seed", F.col("blocks"))).drop("of", "blocks")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST, block: int = BLOCK) -> DataFrame:
-    """A row for each row of docs: doc_id, source, seed (a hash of the row), size, source_size, target and
-    copies, how often the mix takes the document."""
-    sized = sizes(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.col(text_col).alias("text")))
-    sized = stored(sized.withColumn("seed", _seed("doc_id", "text", "source")).drop("text"))
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST, block: int = BLOCK, every: bool = False) -> DataFrame:
+    """A row for each row of docs: doc_id, source, seed and check (hashes of the row; of all its columns, if
+    every is set), size, source_size, target and copies, how often the mix takes the document."""
+    named = [F.col(quoted(c)).alias(n) for c, n in ((id_col, "doc_id"), (source_col, "source"), (text_col, "text"))]
+    sized = sizes(docs.select(*named, *[h.alias(n) for h, n in zip(_seeds(docs, id_col, text_col, source_col, every), ("seed", "check"))]))
+    sized = stored(sized.drop("text"))
     params = small(stored(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most))).withColumnRenamed("source", "of")
     rows = sized.join(params, F.col("source").eqNullSafe(F.col("of"))).drop("of")
     times = F.when(F.col("size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
@@ -232,22 +237,25 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return out.withColumn("copies", F.col("whole") + F.round("p").cast("int")).drop("whole", "p")
 
 
-def _seed(id_col: str, text_col: str, source_col: str) -> Column:
-    return F.xxhash64(id_col, source_col, text_col)
+def _seeds(docs: DataFrame, id_col: str, text_col: str, source_col: str, every: bool) -> tuple[Column, Column]:
+    if every:
+        return row_hash(docs), row_hash(docs, 1)
+    of = [F.col(quoted(c)) for c in (id_col, source_col, text_col)]
+    return F.xxhash64(*of), F.xxhash64(F.lit(1), *of)
 
 
 def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
     """docs, each row as often as the mix takes it."""
-    mixed = mix(docs, id_col, text_col, source_col, **how).groupBy("seed").agg(F.sum("copies").alias("_times"), F.count("*").alias("_rows"))
-    mixed = stored(mixed.withColumnRenamed("seed", "_of"))
-    taken = small(mixed.where("_times > 0 and _rows = 1"))
-    keyed = docs.withColumn("_seed", _seed(id_col, text_col, source_col))
-    out = keyed.join(taken, F.col("_seed") == F.col("_of"))
-    again = mixed.where("_times > 0 and _rows > 1")
-    if not again.isEmpty():  # rows that repeat share what they are taken together
-        once = keyed.join(small(stored(again)), F.col("_seed") == F.col("_of")).dropDuplicates(["_seed"])
-        out = out.unionByName(once)
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select(docs.columns)
+    seed, check, of, and_, times, copy = fresh(docs.columns, "seed", "check", "of", "and", "times", "copy")
+    mixed = mix(docs, id_col, text_col, source_col, every=True, **how).groupBy("seed", "check").agg(F.sum("copies").alias(times), F.count("*").alias("rows"))
+    mixed = stored(mixed.where(F.col(times) > 0).select(F.col("seed").alias(of), F.col("check").alias(and_), times, "rows"))
+    same = (F.col(seed) == F.col(of)) & (F.col(check) == F.col(and_))
+    keyed = docs.withColumns(dict(zip((seed, check), _seeds(docs, id_col, text_col, source_col, True))))
+    out = keyed.join(small(mixed.where("rows = 1").drop("rows")), same)
+    again = mixed.where("rows > 1").drop("rows")
+    if not again.isEmpty():  # rows that repeat, in all columns, share what they are taken together
+        out = out.unionByName(keyed.join(small(stored(again)), same).dropDuplicates([seed, check]))
+    return out.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times).cast("int")))).select(columns(docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

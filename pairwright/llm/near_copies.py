@@ -1,23 +1,27 @@
-"""Near copies by word-shingle similarity, for filtering: SimHash with blocks that reach further.
-
-Texts whose sets of 5-word shingles overlap by 0.8 (Jaccard) differ in 7 to 18 of 64 SimHash bits, mostly;
-blocks that find pairs within 3 bits see a tenth of them. So the blocks here are of another kind: each is a
-fingerprint of the shingles that are smallest under ``ROWS`` hash functions, which similar texts choose
-alike, and ``BANDS`` such blocks let a pair of 0.8 pass with a chance of one in 1,500 to miss all. Pairs that
-share a block are verified twice: by the least difference that the parities of their shingle sets leave open,
-which is cheap and turns away no pair that is similar, and by the exact similarity of the sets.
-
-Equal texts are one class from the start. Within a block every text meets the ``REACH`` before it in order
-of size, and so all of them in blocks of one more than that, which stay whole in one task; larger ones are
-dealt by range, and may be cut anywhere. What this links is one group from then on. In larger blocks every text then meets those of all other groups: the block is cut into parts of ``PART`` texts
-or so, a group that is larger than a part into parts of its own, and each two parts that can hold texts of
-different groups are a task's work, counted by bit maps of their common shingles. So every pair that shares a block is verified,
-or in one group already, and a large group of near copies costs no square of its size.
-
-Of each group of texts that links join, the row with the smallest id stays. Defined results: a null text
-counts as empty; texts without words are one group; texts of fewer words than a shingle are their own only
-shingle; null ids come last; of rows that repeat one stays; other columns are left alone; an empty table
-stays empty.
+"""Near copies by word-shingle similarity, for filtering: SimHash links, and blocks that reach further.
+
+Fingerprints of the texts' 5-word shingles are linked by pigeonhole blocks, as in ``simhash``, and what these
+links join is verified by the exact similarity of the shingle sets. But texts whose sets overlap by 0.8
+(Jaccard) differ in 7 to 18 of 64 SimHash bits, mostly, and blocks that find pairs within 3 bits see a tenth
+of them. So texts are filed in blocks of a second kind, too: each is a mix of the shingles that are smallest under ``ROWS``
+hash functions, which similar texts choose alike, and ``BANDS`` such blocks let a pair of 0.8 pass with a
+chance of one in 1,500 to miss all. Pairs that share a block are verified twice: by the least difference that
+the parities of their shingle sets leave open, which is cheap and turns away no pair that is similar, and by
+the exact similarity of the sets.
+
+Equal texts are one class from the start. Every pair of texts that share a block is verified, or in one group
+already. Blocks of ``REACH + 1`` texts or less are whole in one task. In larger ones what the SimHash links, and those
+to the ``REACH`` texts before in order of size, have joined is one group, and every text then meets those of all other groups: the block is cut into parts of
+``PART`` texts or so, a group that is larger than a part into parts of its own, and each two parts that can
+hold texts of different groups are a task's work, counted by bit maps of their common shingles. So a large
+group of near copies costs no square of its size, and neither partitions nor their number change what is
+linked.
+
+Texts are known by 128 bits of hashes, rows by 128 bits of id and text. Of each group of texts that links
+join, the row with the smallest id stays. Defined results: a null text counts as empty; texts without words
+are one group; texts of fewer words than a shingle are their own only shingle; texts of any length are read
+whole; null ids come last; of rows that repeat id and text one stays, that with the smallest hash of all
+columns; other columns, of any name, are left alone; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -29,7 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairwright.llm.common import HOT_ROWS, join_groups, small, stored, text_batches, texts, utf8
+from pairwright.llm import simhash
+from pairwright.llm.common import HOT_ROWS, columns, fresh, join_groups, quoted, released, row_hash, small, stored, text_batches, texts, utf8
 from pairwright.llm.components import components
 from pairwright.llm.simhash import shingle_hashes
 
@@ -74,18 +79,19 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 def _prints(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps, sizes, keys = [], [], []
-            for t in texts(b.column(3)):
-                every = shingle_hashes(t, shingle)
-                once = np.unique(every)
+            prints, fps, sizes, keys = [], [], [], []
+            for t in texts(b.column(5)):
+                once = np.unique(shingle_hashes(t, shingle))
+                prints.append(simhash.fingerprint(once))
                 fps.append(parity(once))
                 sizes.append(len(once))
                 keys.append(bands(once))
             flat = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
             blocks = pa.FixedSizeListArray.from_arrays(pa.array(flat.view(np.int64)), BANDS).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), blocks], names=["key", "id", "class", "fp", "n", "blocks"])
+            signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], signed(prints), signed(fps), pa.array(sizes, pa.int32()), blocks], names=["k1", "k2", "id", "class", "check", "print", "fp", "n", "blocks"])
 
-    return run
+    return released(run)
 
 
 def _pairs(least: float):
@@ -125,7 +131,7 @@ def _sets(shingle: int):
             found = [np.unique((h ^ (h >> np.uint64(32))).astype(np.uint32)).tobytes() for h in (shingle_hashes(t, shingle) for t in texts(b.column(1)))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary())], names=["class", "set"])
 
-    return run
+    return released(run)
 
 
 def _verified(least: float):
@@ -135,7 +141,7 @@ def _verified(least: float):
             keep = b.filter(pa.array(ok, pa.bool_()))
             yield keep.select(["a", "b"])
 
-    return run
+    return released(run)
 
 
 def overlaps(a: list[np.ndarray], b: list[np.ndarray] | None) -> np.ndarray:
@@ -221,15 +227,37 @@ def between_groups(members: DataFrame, sets: DataFrame, least: float, part: int
     return dealt.groupBy(*block, "x", "y").applyInArrow(_tile(least), "a long, b long")
 
 
+def _told_apart(prints: DataFrame) -> DataFrame:
+    """prints, with other class numbers for different texts that share one."""
+    twice = stored(prints.groupBy("class").agg(F.min("check").alias("low"), F.max("check").alias("high")).where("low <> high").select("class"))
+    if twice.isEmpty():
+        return prints
+    own = prints.join(small(twice.withColumn("shared", F.lit(True))), "class", "left")
+    return stored(own.withColumn("class", F.when(F.col("shared"), F.xxhash64("class", "check")).otherwise(F.col("class"))).drop("shared"))
+
+
+def fingerprint_pairs(classes: DataFrame) -> DataFrame:
+    """a, b: classes whose fingerprints (column print) are equal or linked."""
+    alike = stored(classes.groupBy("print").agg(F.min("class").alias("rep"), F.count("*").alias("members")))
+    hot = stored(alike.where(F.col("members") > HOT_ROWS).select("print"))
+    same = join_groups(classes.select("print", "class"), alike.select("print", "rep"), "print", hot).where("class <> rep").select(F.col("rep").alias("a"), F.col("class").alias("b"))
+    links = simhash.links(alike.select(F.col("print").alias("fp")))
+    for side in "ab":
+        links = links.join(alike.select(F.col("print").alias(side), F.col("rep").alias(f"rep_{side}")), side)
+    return same.union(links.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")))
+
+
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, least: float = SIMILARITY) -> DataFrame:
     """The rows of docs that stay: one of each group of near copies."""
-    cls = F.xxhash64(utf8(text_col), F.length(utf8(text_col)))
-    key = F.xxhash64(F.col(id_col), cls)
+    text, id_ = utf8(text_col), F.col(quoted(id_col))
+    cls, check = F.xxhash64(text, F.length(text)), F.xxhash64(F.lit(1), text)
+    keys = F.xxhash64(id_, cls), F.xxhash64(F.lit(1), id_, check)
     kind = dict(docs.dtypes)[id_col]
-    rows = text_batches(docs).select(key.alias("key"), F.col(id_col).alias("id"), cls.alias("class"), utf8(text_col).alias("t"))
-    prints = stored(rows.mapInArrow(_prints(shingle), f"key long, id {kind}, class long, fp long, n int, blocks array<long>"))
-    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("first")
-    classes = stored(prints.groupBy("class").agg(first, F.min("fp").alias("fp"), F.min("n").alias("n"), F.min("blocks").alias("blocks"), F.count("*").alias("rows")))
+    rows = text_batches(docs).select(keys[0].alias("k1"), keys[1].alias("k2"), id_.alias("id"), cls.alias("class"), check.alias("check"), text.alias("t"))
+    prints = stored(rows.mapInArrow(_prints(shingle), f"k1 long, k2 long, id {kind}, class long, check long, print long, fp long, n int, blocks array<long>"))
+    prints = _told_apart(prints)
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "k1", "k2")).alias("first")
+    classes = stored(prints.groupBy("class").agg(first, *[F.min(c).alias(c) for c in ("print", "fp", "n", "blocks")], F.count("*").alias("rows")))
     filed = classes.select(F.posexplode("blocks").alias("band", "block"), F.col("n").cast("long").alias("n"), "class", "fp")
     crowded = small(stored(filed.groupBy("band", "block").count().where(F.col("count") > REACH + 1).select("band", "block")))
     order = ["band", "block", "n", "class"]
@@ -237,10 +265,10 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     crowd = stored(filed.join(crowded, order[:2], "left_semi"))
     cut = crowd.repartitionByRange(*order).sortWithinPartitions(*order)
     near = [x.select("band", "block", "n", "class", "fp").mapInArrow(_pairs(least), "a long, b long") for x in (whole, cut)]
-    pairs = stored(near[0].union(near[1]).distinct())
+    pairs = stored(near[0].union(near[1]).union(fingerprint_pairs(classes)).distinct())
     asked = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).union(crowd.select("class")).distinct()
-    one = small(stored(classes.join(asked, "class").select("first.key")))
-    sets = stored(rows.join(one, "key").dropDuplicates(["key"]).select("class", "t").mapInArrow(_sets(shingle), "class long, set binary"))
+    one = small(stored(classes.join(asked, "class").select("class", "first.k1", "first.k2")))
+    sets = stored(rows.drop("class").join(one, ["k1", "k2"]).dropDuplicates(["k1", "k2"]).select("class", "t").mapInArrow(_sets(shingle), "class long, set binary"))
     with_a = pairs.join(sets.select(F.col("class").alias("a"), F.col("set").alias("x")), "a")
     with_b = with_a.join(sets.select(F.col("class").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y")
     roots = components(with_b.mapInArrow(_verified(least), "a long, b long")).withColumnRenamed("node", "class")
@@ -251,14 +279,18 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         further = small(stored(components(more).select(F.col("node").alias("root"), F.col("root").alias("top"))))
         grouped = grouped.join(further, "root", "left").select("class", "first", F.coalesce("top", "root").alias("root"))
     stays = grouped.groupBy("root").agg(F.min("first").alias("stays"))
-    of = grouped.join(stays, "root").select("class", F.col("stays.key").alias("stays"))
+    of = grouped.join(stays, "root").select("class", F.col("stays.k1").alias("s1"), F.col("stays.k2").alias("s2"))
     hot = stored(classes.where(F.col("rows") > HOT_ROWS).select("class"))
-    kept = join_groups(prints.select("key", "class"), of, "class", hot).withColumn("stay", F.col("key") == F.col("stays"))
-    gone = small(stored(kept.where(~F.col("stay")).select(F.col("key").alias("gone")).distinct()))
-    left = docs.withColumn("_key", key).join(gone, F.col("_key") == F.col("gone"), "left_anti")
-    again = stored(kept.where("stay").groupBy("key").count().where("count > 1").select(F.col("key").alias("again")))
-    if not again.isEmpty():
-        again = small(again)
-        several = left.join(again, F.col("_key") == F.col("again"), "left_semi").dropDuplicates(["_key"])
-        left = left.join(again, F.col("_key") == F.col("again"), "left_anti").unionByName(several)
-    return left.drop("_key")
+    kept = join_groups(prints.select("k1", "k2", "class"), of, "class", hot).withColumn("stay", (F.col("k1") == F.col("s1")) & (F.col("k2") == F.col("s2")))
+    a, b, c, d = fresh(docs.columns, "k1", "k2", "o1", "o2")
+    key = lambda df: df.select(F.col("k1").alias(c), F.col("k2").alias(d))
+    on = (F.col(a) == F.col(c)) & (F.col(b) == F.col(d))
+    gone = small(stored(key(kept.where(~F.col("stay"))).distinct()))
+    left = docs.withColumns({a: keys[0], b: keys[1]}).join(gone, on, "left_anti")
+    again = stored(key(kept.where("stay").groupBy("k1", "k2").count().where("count > 1")))
+    if again.isEmpty():
+        return left.select(columns(docs.columns))
+    again = small(again)
+    row = F.min_by(F.struct(*columns(docs.columns)), row_hash(docs)).alias("row")
+    several = left.join(again, on, "left_semi").groupBy(a, b).agg(row).select("row.*")
+    return left.join(again, on, "left_anti").select(columns(docs.columns)).unionByName(several)

@@ -15,13 +15,23 @@ batch at once, and remembered.
 Characters without a piece become byte pieces, or the unknown piece if the model has none (alike characters
 in a row become one). Decoding gives back the text, but for unknown pieces.
 
+A long word (text without spaces, base64) would advance alone, a letter at a time. It is cut into windows
+that overlap, which advance together as words of one length do. What a place's best way is depends on the
+last few places only; so a window is right from where it agrees, over as many places as the longest piece has letters,
+with with the window before it. Where it doesn't, as in one letter repeated, places are gone through one by one.
+
+``by_scores`` reads any model as a unigram one, whose piece of rank r has the probability 1 / (r + 10), but
+for a factor: the largest sum of scores, over the pieces of a BPE model.
+
 Defined results: a null or empty text has no ids and decodes to the empty text; invalid bytes become
-U+FFFD; repeated rows stay as rows; an empty table gives no rows. A word of any length is encoded whole.
+U+FFFD; of ways of equal worth the one with the longest last piece is taken; repeated rows stay as rows;
+columns of any name stay as they are; an empty table gives no rows. A word of any length is encoded whole.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import os
 import re
 import struct
@@ -34,7 +44,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairwright.llm.common import table, text_batches, texts, utf8
+from pairwright.llm.common import columns as named
+from pairwright.llm.common import fresh, give_back, quoted, schema_of, table, text_batches, texts, utf8
 
 #: Where the query finds its model.
 MODEL = os.environ.get("PAIRWRIGHT_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
@@ -42,8 +53,11 @@ NORMAL, UNKNOWN, CONTROL, OWN, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 SPACE = "▁"
 WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-#: Words that a worker remembers, and slots for pairs of pieces; both only save time.
-KEPT, PAIRS = 400_000, 1 << 20
+#: Bytes of words and their ids that a worker remembers (with OVERHEAD for each), and slots for pairs of
+#: pieces; both only save time.
+KEPT, OVERHEAD, PAIRS = 48 << 20, 220, 1 << 20
+#: Letters from which on a word is cut into windows of CORE letters, each with WARM letters before it.
+LONG, CORE, WARM = 400, 256, 64
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 BACK = np.uint64(pow(int(BASE), -1, 1 << 64))
 
@@ -81,7 +95,7 @@ def fields(data: bytes) -> Iterator[tuple[int, object]]:
 class Pieces:
     """A model: its pieces with scores and kinds, and the look-up tables for encoding and decoding."""
 
-    def __init__(self, model: bytes):
+    def __init__(self, model: bytes, by_scores: bool = False):
         self.text: list[str] = []
         self.scores: list[float] = []
         self.kinds: list[int] = []
@@ -120,9 +134,17 @@ class Pieces:
         for i in usable:
             self.letters[i, : len(self.text[i])] = [ord(c) for c in self.text[i]]
         self.worth = np.array(self.scores, dtype=np.float32)
+        if by_scores and self.type == BPE:
+            self.type = UNIGRAM
+            rank = np.empty(len(usable))
+            rank[np.argsort(-self.worth[usable], kind="stable")] = np.arange(len(usable))
+            self.worth[usable] = -np.log(rank + 10)
         self.pairs, self.fits = np.full(PAIRS, -1, dtype=np.int64), np.zeros(PAIRS, dtype=bool)
         self.fixed: np.ndarray | None = None
         self.words: dict[str, bytes] = {}
+        self.kept = 0
+        self.named: dict[str, int] = {}
+        self.seen: dict[tuple[int, int, bool], bool] = {}
         spelled = [bytes([int(t[1:-1], 16)]) if k == BYTE else b"" if k in (CONTROL, UNKNOWN) else t.encode() for t, k in zip(self.text, self.kinds)]
         self.spelled = [x.replace(SPACE.encode(), b" ") for x in spelled]
         if self.unknown >= 0:
@@ -173,6 +195,10 @@ class Pieces:
 
     def _ways(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(words, length + 1): the last piece of the best way to each place (-1: a lone character), and where it starts."""
+        return self._best_ways(codes)[:2]
+
+    def _best_ways(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same, with each way's worth."""
         n, size = codes.shape
         sums, back = self._sums(codes), self._back(size + 1)
         last = np.full((n, size + 1), -2, dtype=np.int32)
@@ -205,7 +231,68 @@ class Pieces:
                 best[rows, end], last[rows, end], start[rows, end] = total[better], piece, first
                 if self.type == BPE and len(rows):
                     open_ = open_[last[open_, end] == -2]
-        return last, start
+        return last, start, best
+
+    def _windows(self, word: str) -> tuple[list[int], list[int]]:
+        """What _ways gives for one word of many letters, by windows that advance together."""
+        codes, wide = self._codes([word], len(word))[0], CORE + WARM
+        n = len(codes)
+        count = max(1, -(-(n - WARM) // CORE))
+        padded = np.concatenate((codes, np.zeros(max(0, count * CORE + WARM - n), codes.dtype)))  # zeros are in no piece
+        cut = np.lib.stride_tricks.sliding_window_view(padded, wide)[::CORE]
+        last, start, best = np.full(n + 1, -2, np.int32), np.zeros(n + 1, np.int64), np.zeros(n + 1, np.float64)
+        for low in range(0, count, 4_096):
+            found = self._best_ways(np.ascontiguousarray(cut[low : low + 4_096]))
+            for i, (l, s, w) in enumerate(zip(*found)):
+                first = (low + i) * CORE
+                done, end = (first + WARM, min(n, first + wide)) if first else (-1, min(n, wide))
+                back = slice(done - self.longest + 1, done + 1)
+                if first and not self._agree((last[back], best[back]), (l[WARM - self.longest + 1 : WARM + 1], w[WARM - self.longest + 1 : WARM + 1])):
+                    self._go_on(word, last, start, best, done + 1, end)
+                    continue
+                skip = WARM + 1 if first else 0
+                part = slice(skip, skip + end - done)
+                last[done + 1 : end + 1], start[done + 1 : end + 1] = l[part], s[part] + first
+                best[done + 1 : end + 1] = w[part] + (best[done] - float(w[WARM]) if first else 0)
+        return last.tolist(), start.tolist()
+
+    def _agree(self, a: tuple, b: tuple) -> bool:
+        """Whether what follows is the same after these ways to as many places as the longest piece has letters."""
+        if not (a[0] == b[0]).all() or (b[0] == -2).any():
+            return False
+        return self.type == BPE or np.allclose(a[1] - a[1][-1], b[1] - b[1][-1], rtol=0, atol=1e-3)
+
+    def _go_on(self, word: str, last: np.ndarray, start: np.ndarray, best: np.ndarray, low: int, high: int) -> None:
+        """The ways to the places low to high, one by one, from those before."""
+        if not self.named:
+            self.named = {self.text[i]: i for i in self.ids.tolist()}
+        lone = float(self.worth[self.ids].min()) - 10.0
+        base = max(0, low - self.longest)
+        ways, worth = last[base:low].tolist(), best[base:low].tolist()
+        for end in range(low, high + 1):
+            way, at, top = -2, 0, -math.inf
+            for first in range(max(0, end - self.longest), end):
+                piece = self.named.get(word[first:end], -1)
+                if piece < 0 and end - first > 1:
+                    continue
+                if self.type != BPE:
+                    total = worth[first - base] + (float(self.worth[piece]) if piece >= 0 else lone)
+                    if total > top:
+                        way, at, top = piece, first, total
+                elif end - first == 1 or self._may_follow(ways[first - base], piece, first):
+                    way, at, top = piece, first, 0.0
+                    break
+            ways.append(way)
+            worth.append(top)
+            last[end], start[end], best[end] = way, at, top
+
+    def _may_follow(self, a: int, b: int, first: int) -> bool:
+        known = self.seen.get((a, b, first == 0))
+        if known is None:
+            if len(self.seen) >= PAIRS >> 4:
+                self.seen.clear()
+            known = self.seen[a, b, first == 0] = bool(self._follows(np.array([a]), np.array([b]), first)[0])
+        return known
 
     def _follows(self, a: np.ndarray, b: np.ndarray, first: int) -> np.ndarray:
         """Whether piece b (-1: a character without a piece) can stand after the piece a in a BPE encoding."""
@@ -331,6 +418,10 @@ class Pieces:
         for i, w in enumerate(words):
             by.setdefault(len(w), []).append(i)
         for size, every in by.items():
+            if size >= LONG:
+                for i in every:
+                    out[i] = self._spell(words[i], *self._windows(words[i]))
+                continue
             step = max(1, 400_000 // max(1, size))
             for k in range(0, len(every) if size else 0, step):
                 at = every[k : k + step]
@@ -351,10 +442,12 @@ class Pieces:
     def encode(self, docs: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
         split = [self.split(t) for t in docs]
-        if len(self.words) > KEPT:
-            self.words = {}
+        if self.kept > KEPT:
+            self.words, self.kept = {}, 0
         new = list({w for d in split for w in d} - self.words.keys())
-        self.words.update(zip(new, self.encode_words(new)))
+        ids = self.encode_words(new)
+        self.words.update(zip(new, ids))
+        self.kept += sum(map(len, new)) + sum(map(len, ids)) + OVERHEAD * len(new)
         known = self.words
         return [np.frombuffer(b"".join([known[w] for w in d]), dtype=np.int32) for d in split]
 
@@ -367,17 +460,17 @@ class Pieces:
         return raw.decode("utf-8", "replace")
 
 
-def shared(model: bytes) -> Pieces:
+def shared(model: bytes, by_scores: bool = False) -> Pieces:
     """The model's pieces, kept by the process with all that they have learned, over the tasks of a worker."""
     held = sys.__dict__.setdefault("_pairwright_pieces", {})
-    name = hashlib.sha256(model).hexdigest()
+    name = hashlib.sha256(model).hexdigest(), by_scores
     if name not in held:
         held.clear()
-        held[name] = Pieces(model)
+        held[name] = Pieces(model, by_scores)
     return held[name]
 
 
-def blocks(b: pa.RecordBatch, most: int = 4_000_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+def blocks(b: pa.RecordBatch, most: int = 2_000_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Slices of a batch with the texts of its first column, of some ``most`` bytes each."""
     first, size, found = 0, 0, []
     for i, t in enumerate(texts(b.column(0))):
@@ -392,14 +485,14 @@ def load(path: str = MODEL) -> Pieces:
     return Pieces(Path(path).read_bytes())
 
 
-def encode(docs: DataFrame, model: bytes, columns: list[str], text_col: str = "text", check: bool = False) -> DataFrame:
+def encode(docs: DataFrame, model: bytes, columns: list[str], text_col: str = "text", check: bool = False, by_scores: bool = False) -> DataFrame:
     """The named columns of docs with ids (array<int>); with check, also text_sha256 of the decoded text
     and round_trip, whether it is the text."""
-    kinds = dict(docs.dtypes)
-    rows = text_batches(docs).select(utf8(text_col).alias("_utf8"), *columns)
+    (raw,) = fresh(columns, "utf8")
+    rows = text_batches(docs).select(utf8(text_col).alias(raw), *named(columns))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = shared(model)
+        pieces = shared(model, by_scores)
         for b in batches:
             for part, docs_ in blocks(b):
                 ids = pieces.encode(docs_)
@@ -409,15 +502,15 @@ def encode(docs: DataFrame, model: bytes, columns: list[str], text_col: str = "t
                     back = [pieces.decode(x) for x in ids]
                     out += [pa.array([hashlib.sha256(t.encode()).hexdigest() for t in back]), pa.array([x == y for x, y in zip(back, docs_)], pa.bool_())]
                 yield pa.RecordBatch.from_arrays(out, names=[*columns, "ids", *["text_sha256", "round_trip"] * check])
+        give_back()
 
-    shape = ", ".join([*(f"`{c}` {kinds[c]}" for c in columns), "ids array<int>"] + ["text_sha256 string", "round_trip boolean"] * check)
-    return rows.mapInArrow(run, shape)
+    return rows.mapInArrow(run, schema_of(docs, columns, "ids array<int>", *["text_sha256 string", "round_trip boolean"] * check))
 
 
 def decode(encoded: DataFrame, model: bytes, columns: list[str], ids_col: str = "ids") -> DataFrame:
     """The named columns of encoded with text, decoded from the ids; null ids give the empty text."""
-    kinds = dict(encoded.dtypes)
-    rows = encoded.select(F.coalesce(F.col(ids_col), F.array().cast("array<int>")).alias("_ids"), *columns)
+    (raw,) = fresh(columns, "ids")
+    rows = encoded.select(F.coalesce(F.col(quoted(ids_col)), F.array().cast("array<int>")).alias(raw), *named(columns))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = shared(model)
@@ -425,10 +518,16 @@ def decode(encoded: DataFrame, model: bytes, columns: list[str], ids_col: str =
             found = [pieces.decode(np.array(x, dtype=np.int32)) for x in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(found, pa.string())], names=[*columns, "text"])
 
-    return rows.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in columns) + ", text string")
+    return rows.mapInArrow(run, schema_of(encoded, columns, "text string"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, ids, n_ids, sha256 of the text decoded from them, and whether that is the text."""
     found = encode(table(spark, sf_dir, "documents"), Path(MODEL).read_bytes(), ["doc_id"], check=True)
     return found.withColumn("n_ids", F.size("ids").cast("long"))
+
+
+def by_scores_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by the largest sum of scores."""
+    found = encode(table(spark, sf_dir, "documents"), Path(MODEL).read_bytes(), ["doc_id"], check=True, by_scores=True)
+    return found.withColumn("n_ids", F.size("ids").cast("long"))

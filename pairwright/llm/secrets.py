@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairwright.llm.common import table, text_batches, texts, utf8
+from pairwright.llm.common import released, table, text_batches, texts, utf8
 
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(rb"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -223,7 +223,7 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", str
             found = [[{"kind": KINDS[k], "start": s, "end": e, "cost": c} for s, k, e, c in code_points(t, scan(t, strong))] for t in texts(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, into)], names=["id", "spans"])
 
-    return text_batches(docs).select(F.col(id_col).alias("id"), utf8(text_col).alias("t")).mapInArrow(run, f"id {kind}, spans array<{SPAN}>")
+    return text_batches(docs).select(F.col(id_col).alias("id"), utf8(text_col).alias("t")).mapInArrow(released(run), f"id {kind}, spans array<{SPAN}>")
 
 
 def redact(docs: DataFrame, text_col: str = "text", strong: float = STRONG) -> DataFrame:
@@ -245,7 +245,7 @@ def redact(docs: DataFrame, text_col: str = "text", strong: float = STRONG) -> D
             new = pa.array([None if not x.is_valid else clean(x.as_py().encode()) for x in b.column(place)], pa.string())
             yield pa.RecordBatch.from_arrays([new if i == place else c for i, c in enumerate(b.columns)], names=names)
 
-    return text_batches(docs).mapInArrow(run, docs.schema)
+    return text_batches(docs).mapInArrow(released(run), docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

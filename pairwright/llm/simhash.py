@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairwright.llm.common import HOT_ROWS, join_groups, small, stored, table, text_batches, texts, utf8
+from pairwright.llm.common import HOT_ROWS, join_groups, released, small, stored, table, text_batches, texts, utf8
 from pairwright.llm.components import components
 
 BITS = 64
@@ -63,7 +63,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = np.array([fingerprint(shingle_hashes(t, shingle)) for t in texts(b.column(1))], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["id", "fp"])
 
-    return text_batches(docs).select(F.col(id_col).alias("id"), utf8(text_col).alias("t")).mapInArrow(run, f"id {kind}, fp long")
+    return text_batches(docs).select(F.col(id_col).alias("id"), utf8(text_col).alias("t")).mapInArrow(released(run), f"id {kind}, fp long")
 
 
 def block_masks(bits: list[int], blocks: int = 6, kept: int = 3) -> list[int]:

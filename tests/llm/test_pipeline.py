@@ -66,4 +66,4 @@ def test_each_stage_on_its_input(spark, corpus, tmp_path):
 
 def test_run_gives_the_last_stage(spark, corpus):
     got = corpus_pipeline.run(spark, corpus[0])
-    assert got.columns == ["doc_id", "lang", "source", "ids", "n_ids"] and got.count() > 0
+    assert got.columns == ["doc_id", "lang", "source", "ids", "text_sha256", "round_trip", "n_ids"] and got.count() > 0 and got.where("not round_trip").isEmpty()
