@@ -1,41 +1,42 @@
 """Approximate nearest neighbours by shifted space-filling curves.
 
 Each ordering projects the vectors to a few random directions, shifts and quantises them, and sorts by the
-place on a Hilbert curve through that grid. The orderings' keys are cut into ranges of equally many rows
-(quantiles over all rows), which are Spark's partitions of the search; a query looks at its own range and
-its neighbours on either side, in every ordering, and the best of all windows are merged and reranked by
-their exact distance.
-
-A window is a share of the rows: vectors without any structure, as random ones are, have no nearer
-neighbourhood to find, and recall follows from that share and the number of orderings. Ranges with more
-than ``BLOCK`` rows, such as those of one vector repeated many times, are split by a hash of the id into
-blocks; the queries go to all blocks, so that nothing is capped and no task grows.
-
-Defined results: vectors that are null, zero, of another length than most, or hold null, NaN or infinite
-components, and rows with a null id, take no part; rows with one id are one candidate, the nearest of
-them; a query's own id is no candidate for it; of two at one distance the smaller id comes first; tables
-with up to ``BIN`` rows are searched whole; an empty table gives no rows.
+place on a Hilbert curve through that grid. Spark partitions the rows of each ordering by ranges of that key and sorts them,
+which gives every row its rank; ``bin_rows`` successive ranks are a bin. A query looks at its own bin and
+``reach`` bins on either side, in every ordering, and the best of all windows are merged and reranked by their exact distance.
+
+A window is a number of rows, whatever the size of the table: the work grows with the queries, not with
+queries times rows. How much of it is found depends on the vectors: neighbours that are near in
+a few directions keep their places close; vectors without any structure, as random ones are, have no nearer
+neighbourhood to find, and there recall follows from the share of the rows that the windows cover (README).
+
+Equal vectors are one candidate until the end, with their ``k + 1`` smallest ids, and one query, however often they repeat: so no bin
+is larger than ``bin_rows``, no vector takes a window for itself, and nothing is capped. Where a single
+window covers all rows, the other orderings would compare the same pairs again and are left out.
+
+Defined results: vectors that are null, zero, or hold null, NaN or infinite components, and rows with a null
+id, take no part; vectors of different lengths are no neighbours; rows with one id are one candidate, the
+nearest of them; a query's own id is no candidate for it; of two at one distance the smaller id comes first;
+columns of other names have no effect; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pairwright.llm.common import small, stored, table
+from pairwright.llm.common import HOT_ROWS, join_groups, quoted, released, small, stored, table
 
 ORDERINGS = 8
 DIMENSIONS = 6
 BITS = 10
-BIN = 500
-MOST_BINS = 64
-REACH = 0.085
-BLOCK = 10_000
+BIN = 2_000
+REACH = 2
 SAMPLE = 4_096
 
 
@@ -89,6 +90,8 @@ class Curves:
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
@@ -98,86 +101,138 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & F.coalesce(finite, F.lit(False)) & F.exists(vector, lambda x: x != 0)
 
 
-def _nearest(k: int):
-    """For the candidates and queries of one block: each query's k nearest."""
+def _nearest(wide: int, dim: int):
+    """For the candidates (c, v) and the queries (q, w) of one bin: each query's ``wide`` nearest, itself included."""
 
-    def run(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        out = {"query_id": [], "vec_id": [], "score": []}
-        if len(rows) and len(asked):
-            c, ids = np.stack(rows["v"].to_numpy()).astype(np.float64), rows["id"].to_numpy()
+    def run(rows: pa.Table, asked: pa.Table) -> pa.Table:
+        out: list[list[np.ndarray]] = [[], [], []]
+        if rows.num_rows and asked.num_rows:
+            c, ids = _matrix(rows.column("v"), dim), rows.column("c").to_numpy()
             norms = (c * c).sum(axis=1)
-            wide = k + len(ids) - len(np.unique(ids))  # rows that repeat an id take no other's place
-            q_all, q_ids = np.stack(asked["q"].to_numpy()).astype(np.float64), asked["q_id"].to_numpy()
-            for at in range(0, len(q_all), 256):
-                q = q_all[at : at + 256]
+            every, names = _matrix(asked.column("w"), dim), asked.column("q").to_numpy()
+            for at in range(0, len(every), 256):
+                q = every[at : at + 256]
                 squares = (q * q).sum(axis=1)
                 near = squares[:, None] - 2 * q @ c.T + norms[None]
                 slack = 1e-10 * (squares + norms.max())
                 for i, one in enumerate(q):
-                    own = ids == q_ids[at + i]
-                    near[i, own] = np.inf
+                    best = np.arange(len(ids))
                     if len(ids) > wide:
-                        most = np.partition(near[i], wide - 1)[wide - 1] + slack[i]
-                        best = np.flatnonzero((near[i] <= most) & ~own)
-                    else:
-                        best = np.flatnonzero(~own)
-                    d = np.sqrt(((c[best] - one) ** 2).sum(axis=1))
-                    order = np.lexsort((ids[best], d))
-                    first = order[np.sort(np.unique(ids[best[order]], return_index=True)[1])[:k]]
-                    out["query_id"] += [q_ids[at + i]] * len(first)
-                    out["vec_id"] += ids[best[first]].tolist()
-                    out["score"] += d[first].tolist()
-        return pd.DataFrame({"query_id": pd.Series(out["query_id"], dtype="int64"), "vec_id": pd.Series(out["vec_id"], dtype="int64"), "score": pd.Series(out["score"], dtype="float64")})
+                        best = np.flatnonzero(near[i] <= np.partition(near[i], wide - 1)[wide - 1] + slack[i])
+                    d = np.sqrt(np.cumsum((c[best] - one) ** 2, axis=1)[:, -1])  # summed in the order of the components
+                    if len(best) > wide:  # of those as near as the last one all stay: ids decide between them
+                        keep = d <= np.partition(d, wide - 1)[wide - 1]
+                        best, d = best[keep], d[keep]
+                    for x, y in zip(out, (np.full(len(best), names[at + i]), ids[best], d)):
+                        x.append(y)
+        flat = [np.concatenate(x) if x else np.zeros(0) for x in out]
+        return pa.table({"q": pa.array(flat[0].astype(np.int64)), "c": pa.array(flat[1].astype(np.int64)), "score": pa.array(flat[2].astype(np.float64))})
 
     return run
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", orderings: int = ORDERINGS, dimensions: int = DIMENSIONS, reach: float = REACH, block: int = BLOCK, bin_rows: int = BIN) -> DataFrame:
+def _ranked(before: dict[tuple[int, int], int], bin_rows: int):
+    """Over the sorted rows of a partition: the bin of each row in its ordering."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, int] = {}
+        for b in batches:
+            part, o = (b.column(i).to_numpy() for i in (0, 1))
+            rank = np.empty(len(o), dtype=np.int64)
+            for one in np.unique(o).tolist():
+                at = np.flatnonzero(o == one)
+                first = seen.setdefault(one, before[int(part[0]), one])
+                rank[at] = np.arange(first, first + len(at))
+                seen[one] = first + len(at)
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(rank // bin_rows)], names=["o", "c", "v", "asked", "bin"])
+
+    return run
+
+
+def search(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", orderings: int = ORDERINGS, dimensions: int = DIMENSIONS, reach: int = REACH, bin_rows: int = BIN) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found for each row of vectors for which is_query holds.
 
-    reach: the share of all rows that a query looks at on either side, in each ordering. The curves are
-    fitted to the SAMPLE rows with the smallest hash; every row is indexed.
+    The curves are fitted to some SAMPLE vectors with the smallest hashes; every row is indexed.
     """
-    good = vectors.where(F.col(id_col).isNotNull() & usable(F.col(vector_col)))
-    good = good.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("asked"))
-    schema = "query_id long, rank int, vec_id long, score double"
-    most = good.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
-    if most is None:
-        return vectors.sparkSession.createDataFrame([], schema)
-    dim, count = most["dim"], most["count"]
-    good = good.where(F.size("v") == dim)
-    sample = good.select("v", F.xxhash64("id").alias("h")).orderBy("h", "v").limit(SAMPLE).collect()  # SAMPLE rows at most
-    curves = Curves(np.array([r.v for r in sample]), orderings, dimensions)
+    id_, vector = F.col(quoted(id_col)), F.col(quoted(vector_col))
+    good = vectors.where(id_.isNotNull() & usable(vector)).select(id_.cast("long").alias("id"), vector.alias("v"), F.coalesce(is_query, F.lit(False)).alias("asked"))
+    good = good.withColumn("key", F.struct(F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(1), "v").alias("h2")))
+    out = None
+    for r in good.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").collect():  # lengths are few
+        found = _search(good.where(F.size("v") == r["dim"]), r["dim"], k, orderings, dimensions, reach, bin_rows)
+        out = found if out is None else out.unionByName(found)
+    return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double") if out is None else out
+
+
+def _search(good: DataFrame, dim: int, k: int, orderings: int, dimensions: int, reach: int, bin_rows: int) -> DataFrame:
+    members = stored(good.groupBy("key", "id").agg(F.max("asked").alias("asked")))
+    smallest = F.row_number().over(Window.partitionBy("key").orderBy("id"))
+    heads = members.select("key", "id", smallest.alias("n")).where(F.col("n") <= k + 1).groupBy("key").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    classes = stored(good.groupBy("key").agg(F.first("v").alias("v"), F.max("asked").alias("asked")))
+    classes = classes.withColumn("c", F.monotonically_increasing_id())  # of stored rows: always the same
+    count = classes.count()
+    most = members.groupBy("id").count().agg(F.max("count")).first()[0]
+    wide = (k + 1) * most  # as many vectors hold k + 1 different ids
+    low = F.xxhash64("v").cast("double") <= -(2.0**63) + min(1.0, (SAMPLE + 8 * math.sqrt(SAMPLE) + 100) / count) * 2.0**64
+    sample = classes.where(low).select("v", "key").orderBy("key").limit(SAMPLE).collect()  # hardly more than SAMPLE rows
+    if count <= bin_rows * (reach + 1):
+        orderings = 1
+    curves = Curves(np.array([r.v for r in sample], dtype=np.float64), orderings, dimensions)
+    kind = dict(classes.dtypes)["v"]
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, b.num_rows, 2_000):
                 part = b.slice(i, 2_000)
                 keys = pa.FixedSizeListArray.from_arrays(pa.array(curves.keys(_matrix(part.column(1), dim)).ravel()), orderings).cast(pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([*part.columns, keys], names=["id", "v", "asked", "keys"])
-
-    keyed = stored(good.mapInArrow(index, "id long, v array<double>, asked boolean, keys array<long>"))
-    bins = max(1, min(MOST_BINS, count // bin_rows))
-    if bins > 1:
-        steps = [i / bins for i in range(1, bins)]
-        cuts = keyed.agg(*[F.percentile_approx(F.col("keys")[o], steps, 10_000).alias(f"o{o}") for o in range(orderings)]).first()
-    else:
-        cuts = [[]] * orderings
-    side = max(1, round(reach * bins)) if bins > 1 else 0
-    place = lambda o: F.size(F.filter(F.lit(list(cuts[o])) if cuts[o] else F.array().cast("array<bigint>"), lambda c: c < F.col("keys")[o]))
-    places = keyed.withColumn("bins", F.array(*[place(o) for o in range(orderings)])).drop("keys")
-    rows = places.select("id", "v", F.posexplode("bins").alias("o", "bin"))
-    asked = places.where("asked").select(F.col("id").alias("q_id"), F.col("v").alias("q"), F.posexplode("bins").alias("o", "at"))
-    asked = asked.select("q_id", "q", "o", F.explode(F.sequence(F.greatest(F.col("at") - side, F.lit(0)), F.least(F.col("at") + side, F.lit(bins - 1)))).alias("bin"))
-    blocks = small(stored(rows.groupBy("o", "bin").agg(F.ceil(F.count("*") / block).alias("blocks"))))
-    rows = rows.join(blocks, ["o", "bin"]).withColumn("block", F.pmod(F.xxhash64("id"), "blocks")).drop("blocks")
-    asked = asked.join(blocks, ["o", "bin"]).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).drop("blocks")
-    by = ["o", "bin", "block"]
-    found = rows.groupBy(*by).cogroup(asked.groupBy(*by)).applyInPandas(_nearest(k), "query_id long, vec_id long, score double")
-    found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+                yield pa.RecordBatch.from_arrays([*part.columns, keys], names=["c", "v", "asked", "keys"])
+
+    keyed = classes.select("c", "v", "asked").mapInArrow(released(index), f"c long, v {kind}, asked boolean, keys array<long>")
+    spread = keyed.select("c", "v", "asked", F.posexplode("keys").alias("o", "place"))
+    spread = stored(spread.repartitionByRange("o", "place", "c").sortWithinPartitions("o", "place", "c").drop("place"))
+    counts = sorted(tuple(r) for r in spread.groupBy(F.spark_partition_id().alias("part"), "o").count().collect())  # a row a partition, or few
+    before, so_far = {}, {}
+    for part, o, n in counts:
+        before[part, o] = so_far.get(o, 0)
+        so_far[o] = so_far.get(o, 0) + n
+    placed = spread.select(F.spark_partition_id().alias("part"), "o", "c", "v", "asked").mapInArrow(released(_ranked(before, bin_rows)), f"o int, c long, v {kind}, asked boolean, bin long")
+    placed = stored(placed)
+    last = (count - 1) // bin_rows
+    around = F.sequence(F.greatest(F.col("bin") - reach, F.lit(0)), F.least(F.col("bin") + reach, F.lit(last)))
+    asked = placed.where("asked").select("o", F.col("c").alias("q"), F.col("v").alias("w"), F.explode(around).alias("bin"))
+    by = ["o", "bin"]
+    found = placed.select("o", "bin", "c", "v").groupBy(*by).cogroup(asked.groupBy(*by)).applyInArrow(_nearest(wide, dim), "q long, c long, score double")
+    found = found.groupBy("q", "c").agg(F.min("score").alias("score"))
+    named = classes.select("c", "key").join(heads, "key").select("c", F.explode("ids").alias("id"))
+    ids = found.join(named, "c").groupBy("q", "id").agg(F.min("score").alias("score"))
+    rank = F.row_number().over(Window.partitionBy("q").orderBy("score", "id"))
+    best = ids.withColumn("n", rank).where(F.col("n") <= k + 1).groupBy("q").agg(F.sort_array(F.collect_list(F.struct("score", "id"))).alias("best"))
+    best = best.join(classes.select(F.col("c").alias("q"), "key"), "q").select("key", "best")
+    queries = members.where("asked").select("key", F.col("id").alias("query_id"))
+    hot = stored(queries.groupBy("key").count().where(F.col("count") > HOT_ROWS).select("key"))
+    others = join_groups(queries, best, "key", hot).withColumn("best", F.filter("best", lambda x: x["id"] != F.col("query_id")))
+    if most > 1:  # a query with several vectors: the nearest to any of them
+        each = others.select("query_id", F.explode("best").alias("x")).groupBy("query_id", F.col("x.id").alias("id")).agg(F.min("x.score").alias("score"))
+        others = each.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("score", "id"))).alias("best"))
+    ranked = others.select("query_id", F.posexplode(F.slice("best", 1, k)).alias("place", "x"))
+    return ranked.select("query_id", (F.col("place") + 1).alias("rank"), F.col("x.id").alias("vec_id"), F.col("x.score").alias("score"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+#: All pairs of a query and a candidate. The windows of op5 cover tables of up to BIN * (REACH + 1) vectors
+#: whole; on larger ones op5 may find other neighbours than the nearest.
+SQL = """
+WITH good AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), near AS (
+  SELECT q.vec_id AS query_id, c.vec_id, min(sqrt(list_reduce(list_transform(range(1, len(q.v) + 1), lambda i: (q.v[i] - c.v[i]) * (q.v[i] - c.v[i])), lambda a, b: a + b))) AS score
+  FROM good q JOIN good c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v) GROUP BY ALL
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank FROM near) WHERE rank <= 10
+"""

@@ -21,8 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_licenses": licenses.query,
         "op9_language": language.query,
         "op10_chat": chat.query,
+        "pieces_by_scores": pieces.by_scores_query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_chat": chat.SQL}
+    return {"op5_neighbours": neighbours.SQL, "op10_chat": chat.SQL}

@@ -39,7 +39,7 @@ def test_recall(spark, spread):
     centres = rng.standard_normal((10, 64)) * spread
     x = rng.standard_normal((6_000, 64)) + centres[rng.integers(0, 10, 6_000)]
     rows = [(i, v.tolist(), None, None) for i, v in enumerate(x)]
-    got = neighbours.search(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 100 == 0, block=300).collect()
+    got = neighbours.search(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 100 == 0, bin_rows=500).collect()
     x = x.astype(np.float32).astype(np.float64)
     hits = 0
     for q in range(0, 6_000, 100):
@@ -59,7 +59,7 @@ def test_hilbert_visits_neighbours():
 
 def test_one_vector_repeated(spark):
     rows = [(i, [1.0, 2.0, 3.0], None, None) for i in range(3_000)]
-    got = neighbours.search(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") == 100, block=200).orderBy("rank").collect()
+    got = neighbours.search(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") == 100).orderBy("rank").collect()
     assert [(r.vec_id, r.score) for r in got] == [(i, 0.0) for i in range(10)]
 
 
