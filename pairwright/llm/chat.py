@@ -1,8 +1,8 @@
 """Chat formatting with Spark expressions only.
 
-A conversation's turns are collected as structs, sorted, and joined to one string. Adjacent turns of one
-role share a block; inside it a separator keeps the turns apart, so that reading back gives the rows as
-they were:
+A conversation's turns are collected as structs and sorted. Adjacent turns of one role are merged to a block,
+by array functions: the places where the role changes cut the array into slices, and each slice's texts are joined;
+inside a block a separator keeps the turns apart, so that reading back gives the rows as they were:
 
     <|im_start|>user\\nfirst<|im_sep|>second<|im_end|>\\n<|im_start|>assistant\\nanswer<|im_end|>\\n
 
@@ -10,22 +10,25 @@ A text can't fake a marker: ``<`` and ``|`` with any number of carets between ge
 lose it when read. Roles, which stand before a line end, are escaped by per cent signs.
 
 The loss mask is an array of spans (code points of the formatted string, end exclusive), one for each
-turn of the assistant, its text without markers.
+turn of the assistant, its text without markers. Running sums and cuts go by pieces of ``STEP`` turns and ``CHUNK``
+letters, so that a conversation of many turns takes no square of its length.
 
 Defined results: null text or role counts as empty; turns with equal numbers go by role, then text; a
-null turn number comes first; rows that repeat are turns of their own; rows with a null conversation id
+null turn number comes first; rows that repeat are turns of their own; texts of any length are formatted
+whole; columns of other names have no effect; rows with a null conversation id
 form one conversation; an empty table gives no conversation.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairwright.llm.common import table
+from pairwright.llm.common import quoted, table
 
 START, END, SEP = "<|im_start|>", "<|im_end|>", "<|im_sep|>"
 LEARNED = "assistant"
+STEP, CHUNK = 256, 4_096
 
 
 def escape(text: Column) -> Column:
@@ -50,27 +53,53 @@ def unescape_role(role: Column) -> Column:
     return _swap(role, ("%3C", "<"), ("%0A", "\n"), ("%25", "%"))
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with the value computed once, although use names it inside of functions of array items."""
+    return F.transform(F.array(value), use)[0]
+
+
+def running(sizes: Column) -> Column:
+    """For each number of the array the sum of those before it."""
+    total = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda s, n: s + n)
+    within = lambda part, base: F.transform(part, lambda _, i: base + total(F.slice(part, 1, i)))
+    starts = F.when(F.size(sizes) > 0, F.sequence(F.lit(1), F.size(sizes), F.lit(STEP))).otherwise(F.array().cast("array<int>"))
+    parts = F.transform(starts, lambda at: F.slice(sizes, at, STEP))
+    placed = lambda p, sums: F.flatten(F.transform(p, lambda part, k: let(total(F.slice(sums, 1, k)), lambda base: within(part, base))))
+    return let(parts, lambda p: let(F.transform(p, total), lambda sums: placed(p, sums)))
+
+
+def merged(said: Column) -> Column:
+    """Blocks (array of role and escaped texts) of the sorted turns: slices between the places where the role changes."""
+    at = lambda i: F.element_at(said, i)
+    first = F.filter(F.sequence(F.lit(1), F.size(said)), lambda i: (i == 1) | (at(i)["role"] != at(F.greatest(i - 1, F.lit(1)))["role"]))
+    texts = lambda i, end: F.transform(F.slice(said, i, end - i), lambda s: escape(s["text"]))
+    block = lambda cuts: lambda i, j: F.struct(at(i)["role"].alias("role"), texts(i, F.coalesce(F.get(cuts, j + 1), F.size(said) + 1)).alias("texts"))
+    return let(first, lambda cuts: F.transform(cuts, block(cuts)))
+
+
 def format_chats(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", learned: str = LEARNED) -> DataFrame:
     """id, formatted, loss (array of start, end) for each conversation."""
-    rows = turns.select(F.col(id_col).alias("id"), F.col(turn_col).alias("turn"), F.coalesce(role_col, F.lit("")).alias("role"), F.coalesce(text_col, F.lit("")).alias("text"))
-    order = Window.partitionBy("id").orderBy("turn", "role", "text")
-    same = lambda side: F.coalesce(side("role").over(order) == F.col("role"), F.lit(False))
-    rows = rows.select(
-        "*",
-        F.row_number().over(order).alias("n"),
-        F.when(same(F.lag), F.lit(SEP)).otherwise(F.concat(F.lit(START), escape_role(F.col("role")), F.lit("\n"))).alias("head"),
-        escape(F.col("text")).alias("body"),
-        F.when(same(F.lead), F.lit("")).otherwise(F.lit(END + "\n")).alias("tail"),
+    role, text = (F.coalesce(F.col(quoted(c)), F.lit("")) for c in (role_col, text_col))
+    said = F.struct(F.col(quoted(turn_col)).alias("turn"), role.alias("role"), text.alias("text"))
+    rows = turns.groupBy(F.col(quoted(id_col)).alias("id")).agg(F.array_sort(F.collect_list(said)).alias("said"))
+    long_ = lambda c: F.char_length(c).cast("long")
+    whole = lambda b: F.struct(
+        F.concat(F.lit(START), escape_role(b["role"]), F.lit("\n")).alias("head"),
+        F.array_join(b["texts"], SEP).alias("body"),
+        (b["role"] == learned).alias("loss"),
+        F.transform(b["texts"], long_).alias("sizes"),
+    )
+    rows = rows.select("id", F.transform(merged(F.col("said")), whole).alias("blocks"))
+    starts = running(F.transform("blocks", lambda b: long_(b["head"]) + long_(b["body"]) + len(END) + 1))
+    spans = lambda b, base: F.transform(
+        F.arrays_zip(running(F.transform(b["sizes"], lambda s: s + len(SEP))).alias("at"), b["sizes"].alias("size")),
+        lambda x: F.struct((base + x["at"]).alias("start"), (base + x["at"] + x["size"]).alias("end")),
     )
-    rows = rows.withColumn("piece", F.concat("head", "body", "tail"))
-    upto = F.sum(F.char_length("piece").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    rows = rows.withColumn("end", upto - F.char_length("tail"))
-    said = F.struct("n", "piece", (F.col("end") - F.char_length("body")).alias("start"), "end", (F.col("role") == learned).alias("loss"))
-    grouped = rows.groupBy("id").agg(F.array_sort(F.collect_list(said)).alias("said"))
-    return grouped.select(
+    loss = F.filter(F.arrays_zip(F.col("blocks").alias("b"), starts.alias("at")), lambda x: x["b"]["loss"])
+    return rows.select(
         "id",
-        F.array_join(F.transform("said", lambda s: s["piece"]), "").alias("formatted"),
-        F.transform(F.filter("said", lambda s: s["loss"]), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias("loss"),
+        F.array_join(F.transform("blocks", lambda b: F.concat(b["head"], b["body"], F.lit(END + "\n"))), "").alias("formatted"),
+        F.flatten(F.transform(loss, lambda x: spans(x["b"], x["at"] + long_(x["b"]["head"])))).alias("loss"),
     )
 
 
@@ -90,7 +119,15 @@ def read_turns(formatted: Column) -> Column:
 
 def loss_texts(formatted: Column, loss: Column) -> Column:
     """The texts under the loss mask, unescaped."""
-    return F.transform(loss, lambda s: unescape(F.substr(formatted, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int"))))
+    chunks = F.regexp_extract_all(formatted, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+    place = lambda c: F.floor(c / CHUNK).cast("int")
+
+    def cut(parts: Column, s: Column) -> Column:
+        first = place(s["start"])
+        near = F.array_join(F.slice(parts, first + 1, place(s["end"] - 1) - first + 1), "")
+        return F.when(s["end"] > s["start"], F.substr(near, (s["start"] - first * CHUNK + 1).cast("int"), (s["end"] - s["start"]).cast("int"))).otherwise("")
+
+    return let(chunks, lambda parts: F.transform(loss, lambda s: unescape(cut(parts, s))))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

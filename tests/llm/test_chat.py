@@ -27,6 +27,13 @@ def test_round_trip_and_mask(spark):
         assert len(re.findall(re.escape(chat.START), g.formatted)) == changes == g.formatted.count(chat.END)
 
 
+def test_many_turns(spark):
+    turns = spark.range(20_000).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 3 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("é<|"), F.col("id").cast("string")).alias("text"))
+    (got,) = chat.format_chats(turns).select(chat.read_turns(F.col("formatted")).alias("turns"), chat.loss_texts(F.col("formatted"), F.col("loss")).alias("learned")).collect()
+    assert [t.text for t in got.turns] == [f"é<|{i}" for i in range(20_000)]
+    assert got.learned == [f"é<|{i}" for i in range(20_000) if i % 3]
+
+
 def test_empty(spark):
     assert chat.format_chats(spark.createDataFrame([], SCHEMA)).count() == 0
 
