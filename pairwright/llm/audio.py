@@ -9,12 +9,12 @@ Audio is kept as a WAV of 8-bit samples. Features of the bytes read back:
   goes on, either way, while it is above a low one.
 
 Features are computed over tiles of frames of one clip, so that a clip of any length takes bounded
-memory, and clip by clip, so that equal clips give equal values. ``tensors`` cuts them into windows of
-``FRAMES`` frames, the last one filled with zeros, as a fixed-shape tensor column with start and end in
-seconds.
+memory, and clip by clip, so that equal clips give equal values. They are cut into windows of ``FRAMES``
+frames, the last one filled with zeros, and stored as fixed-shape Arrow tensors with start and end in
+seconds, beside the spans of the segments; ``digests`` reads what it says of a clip back from these.
 
-Defined results: a null or empty text gives one block of zero bytes; repeated rows stay as rows; an empty
-table gives no rows.
+Defined results: a null or empty text gives one block of zero bytes; a text of any length is one clip;
+repeated rows stay as rows; columns of other names have no effect; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -35,12 +35,14 @@ from pairwright.llm.common import released, table, text_batches, texts, utf8
 
 BLOCK = 64
 RATE = 16_000
-UP, DOWN = 1, 2
+UP, DOWN = 2, 3
 TAPS = 16
 WINDOW, HOP, BINS = 200, 80, 256
 MELS = 32
 FRAMES = 96
 TILE = 2_048
+#: Bytes of clips whose tensors are stored together.
+TOGETHER = 1 << 20
 HIGH, LOW = 2.0, 0.5
 
 
@@ -146,13 +148,66 @@ def spans(runs: list[tuple[int, int]], rate: float = RATE * UP / DOWN) -> list[t
     return [(s * HOP / rate, ((e - 1) * HOP + WINDOW) / rate) for s, e in runs]
 
 
-def feature(samples: bytes) -> str:
-    """The features in short: frames, segments, seconds of sound, mean and deviation of four mel bands."""
-    mels, energy = log_mel(samples)
-    found = spans(segments(energy))
-    bands = mels.reshape(len(mels), 4, -1).mean(axis=2, dtype=np.float64)
-    numbers = [*bands.mean(axis=0), *bands.std(axis=0)]
-    return f"frames={len(mels)};segments={len(found)};sound={sum(e - s for s, e in found):.3f};bands=" + ",".join(f"{x:.2f}" for x in numbers)
+def windows(mels: np.ndarray) -> list[tuple[float, float, np.ndarray]]:
+    """(start, end, tensor of FRAMES x MELS) for each window; the end is that of the last real frame."""
+    found = []
+    for i in range(0, len(mels), FRAMES):
+        part = mels[i : i + FRAMES]
+        (start, end), = spans([(i, i + len(part))])
+        found.append((start, end, np.concatenate((part, np.zeros((FRAMES - len(part), MELS), np.float32)))))
+    return found
+
+
+def tensor_batch(clips: list[list[tuple[float, float, np.ndarray]]]) -> pa.RecordBatch:
+    """The windows of some clips as an Arrow batch: clip, start, end, mel as a fixed-shape tensor."""
+    found = [w for c in clips for w in c]
+    kind = pa.fixed_shape_tensor(pa.float32(), (FRAMES, MELS))
+    flat = pa.array(np.concatenate([t.ravel() for *_, t in found]) if found else np.zeros(0, np.float32), pa.float32())
+    mel = pa.ExtensionArray.from_storage(kind, pa.FixedSizeListArray.from_arrays(flat, FRAMES * MELS))
+    clip = np.repeat(np.arange(len(clips)), [len(c) for c in clips])
+    return pa.RecordBatch.from_arrays([pa.array(clip, pa.int64()), pa.array([s for s, *_ in found], pa.float64()), pa.array([e for _, e, _ in found], pa.float64()), mel], names=["clip", "start", "end", "mel"])
+
+
+def segment_batch(clips: list[list[tuple[float, float]]]) -> pa.RecordBatch:
+    """The segments of some clips: clip, start, end."""
+    clip = np.repeat(np.arange(len(clips)), [len(c) for c in clips])
+    return pa.RecordBatch.from_arrays([pa.array(clip, pa.int64()), *[pa.array([x[k] for c in clips for x in c], pa.float64()) for k in (0, 1)]], names=["clip", "start", "end"])
+
+
+def write(batch: pa.RecordBatch) -> pa.Buffer:
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, batch.schema) as w:
+        w.write_batch(batch)
+    return out.getvalue()
+
+
+def read(stored: pa.Buffer) -> pa.RecordBatch:
+    with pa.ipc.open_stream(stored) as r:
+        return r.read_next_batch()
+
+
+def features(clips: list[bytes]) -> list[str]:
+    """The features of each clip in short, read back from the stored tensors and spans: frames, segments,
+    seconds of sound, mean and deviation of four mel bands."""
+    found, sounds = [], []
+    for c in clips:
+        mels, energy = log_mel(c)
+        found.append(windows(mels))
+        sounds.append(spans(segments(energy)))
+    tensors_, segments_ = read(write(tensor_batch(found))), read(write(segment_batch(sounds)))
+    mel = tensors_.column(3).to_numpy_ndarray()
+    clip, start, end = (tensors_.column(i).to_numpy() for i in range(3))
+    real = np.rint(((end - start) * RATE * UP / DOWN - WINDOW) / HOP).astype(np.int64) + 1
+    of, low, high = (segments_.column(i).to_numpy() for i in range(3))
+    at, within = np.searchsorted(clip, np.arange(len(clips) + 1)), np.searchsorted(of, np.arange(len(clips) + 1))
+    out = []
+    for k in range(len(clips)):
+        frames = int(real[at[k] : at[k + 1]].sum())
+        bands = mel[at[k] : at[k + 1]].reshape(-1, MELS)[:frames].reshape(frames, 4, -1).mean(axis=2, dtype=np.float64)
+        here = slice(within[k], within[k + 1])
+        numbers = ",".join(f"{x:.2f}" for x in (*bands.mean(axis=0), *bands.std(axis=0)))
+        out.append(f"frames={frames};segments={within[k + 1] - within[k]};sound={sum((high[here] - low[here]).tolist()):.3f};bands={numbers}")
+    return out
 
 
 def media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -177,54 +232,44 @@ def digests(clips: DataFrame) -> DataFrame:
     """clips (id, n_bytes, media) -> id, n_bytes and digests of the bytes read back, with features."""
     kind = dict(clips.dtypes)["id"]
     out = f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    names = ["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()]
+
+    def told(part: pa.RecordBatch, rows: list[tuple], clips_: list[bytes]) -> pa.RecordBatch:
+        cols = [pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)]
+        return pa.RecordBatch.from_arrays([*part.columns[:2], *cols, pa.array(features(clips_), pa.string())], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for x in b.column(2):
+            first, size, rows, held = 0, 0, [], []
+            for i, x in enumerate(b.column(2)):
                 m = x.as_py()
                 s, _ = decode_wav(m)
-                rows.append((len(s), hashlib.sha256(s).hexdigest(), zlib.crc32(s[-BLOCK:]), len(m), hashlib.sha256(m).hexdigest(), feature(s)))
-            cols = list(zip(*rows)) or [()] * 6
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(list(c), k) for c, k in zip(cols, kinds)]], names=["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+                rows.append((len(s), hashlib.sha256(s).hexdigest(), zlib.crc32(s[-BLOCK:]), len(m), hashlib.sha256(m).hexdigest()))
+                held.append(s)
+                size += len(s)
+                if size >= TOGETHER or len(rows) >= 256 or i + 1 == b.num_rows:
+                    yield told(b.slice(first, len(rows)), rows, held)
+                    first, size, rows, held = i + 1, 0, [], []
 
     return clips.select("id", "n_bytes", "media").mapInArrow(released(run), out)
 
 
-def windows(samples: bytes) -> list[tuple[float, float, np.ndarray]]:
-    """(start, end, tensor of FRAMES x MELS) for each window; the end is that of the last real frame."""
-    mels, _ = log_mel(samples)
-    found = []
-    for i in range(0, len(mels), FRAMES):
-        part = mels[i : i + FRAMES]
-        (start, end), = spans([(i, i + len(part))])
-        found.append((start, end, np.concatenate((part, np.zeros((FRAMES - len(part), MELS), np.float32)))))
-    return found
-
-
-def tensor_batch(found: list[tuple[float, float, np.ndarray]]) -> pa.RecordBatch:
-    """The windows as an Arrow batch: start, end, mel as a fixed-shape tensor."""
-    kind = pa.fixed_shape_tensor(pa.float32(), (FRAMES, MELS))
-    flat = pa.array(np.concatenate([t.ravel() for *_, t in found]) if found else np.zeros(0, np.float32), pa.float32())
-    mel = pa.ExtensionArray.from_storage(kind, pa.FixedSizeListArray.from_arrays(flat, FRAMES * MELS))
-    return pa.RecordBatch.from_arrays([pa.array([s for s, *_ in found], pa.float64()), pa.array([e for _, e, _ in found], pa.float64()), mel], names=["start", "end", "mel"])
-
-
 def tensors(clips: DataFrame) -> DataFrame:
     """clips (id, media) -> id, start, end, mel (FRAMES * MELS floats by row) for each window of each clip.
 
-    Spark has no tensor type: the column holds the tensor's storage; ``tensor_batch`` gives the Arrow type.
+    Spark has no tensor type: the column holds the tensor's storage; ``tensor_batch`` gives the Arrow type, in
+    which ``write`` stores it.
     """
     kind = dict(clips.dtypes)["id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                t = tensor_batch(windows(decode_wav(b.column(1)[i].as_py())[0]))
+                t = tensor_batch([windows(log_mel(decode_wav(b.column(1)[i].as_py())[0])[0])])
                 for part in _slices(t, 256):
-                    mel = part.column(2).storage
-                    yield pa.RecordBatch.from_arrays([pa.array([b.column(0)[i].as_py()] * part.num_rows, b.column(0).type), part.column(0), part.column(1), mel.cast(pa.list_(pa.float32()))], names=["id", "start", "end", "mel"])
+                    mel = part.column(3).storage
+                    yield pa.RecordBatch.from_arrays([pa.array([b.column(0)[i].as_py()] * part.num_rows, b.column(0).type), part.column(1), part.column(2), mel.cast(pa.list_(pa.float32()))], names=["id", "start", "end", "mel"])
 
     return clips.select("id", "media").mapInArrow(released(run), f"id {kind}, start double, end double, mel array<float>")
 

@@ -50,7 +50,7 @@ def test_tone_peaks_in_its_band():
     t = np.arange(16_000) / 16_000
     tone = (128 + 100 * np.sin(2 * np.pi * 1_000 * t)).astype(np.uint8).tobytes()
     mels, _ = audio.log_mel(tone)
-    assert set(mels[5:-5].argmax(axis=1).tolist()) == {int(audio.FILTERS[round(1_000 / 4_000 * 128)].argmax())}
+    assert set(mels[5:-5].argmax(axis=1).tolist()) == {int(audio.FILTERS[round(1_000 / (audio.RATE * audio.UP / audio.DOWN / 2) * 128)].argmax())}
 
 
 def test_tiles_give_the_same(monkeypatch):
@@ -73,9 +73,19 @@ def test_tensors(spark):
     assert len(rows) == -(-len(mels) // audio.FRAMES) and all(len(r.mel) == audio.FRAMES * audio.MELS for r in rows)
     np.testing.assert_allclose(np.concatenate([np.reshape(r.mel, (audio.FRAMES, -1)) for r in rows])[: len(mels)], mels, atol=1e-6)
     assert rows[0].start == 0 and all(a.start < a.end for a in rows)
-    kind = audio.tensor_batch(audio.windows(b"\x80" * 640)).schema.field("mel").type
+    kind = audio.read(audio.write(audio.tensor_batch([audio.windows(mels)]))).schema.field("mel").type
     assert isinstance(kind, pa.FixedShapeTensorType) and kind.shape == [audio.FRAMES, audio.MELS]
 
 
 def test_empty(spark):
     assert audio.digests(audio.media(spark.createDataFrame([], SCHEMA))).count() == 0
+
+
+def test_features_from_stored_tensors():
+    clips = [audio.payload(b"abc " * n) for n in (0, 7, 900, 9_000)] + [b"\x80" * 64, bytes(range(256)) * 40]
+    together, alone = audio.features(clips), [audio.features([c])[0] for c in clips]
+    assert together == alone
+    for c, f in zip(clips, alone):
+        mels, energy = audio.log_mel(c)
+        assert f.startswith(f"frames={len(mels)};segments={len(audio.segments(energy))};")
+    assert audio.features([]) == []
