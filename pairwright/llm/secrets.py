@@ -11,24 +11,33 @@ words of a list, dates, repeats, keyboard walks and brute-force spans: ``cost[j]
 choose the order too. Values of the base kind ``assign`` get the same cost, which tells real secrets
 from placeholders such as ``password=changeme2024``; the spans themselves stay whatever the cost.
 
+Words are a few that guessers try first and then those of a public vocabulary file, by its ranks (``VOCABULARY``; without
+such a file the few).
+
 Whole texts are read as bytes; positions are code points, end exclusive. A null text counts as empty,
-rows that repeat stay as rows. Runs and walks are found once in a value, so that a value of any length
+rows that repeat stay as rows; spans of one start go by kind; columns of other names stay as they are; an
+empty table gives no rows. Runs and walks are found once in a value, so that a value of any length
 takes time in proportion to its length.
 """
 
 from __future__ import annotations
 
 import math
+import os
 import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import cache
 from itertools import accumulate
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairwright.llm.common import released, table, text_batches, texts, utf8
+from pairwright.llm.common import quoted, released, table, text_batches, texts, utf8
+from pairwright.llm.pieces import NORMAL, SPACE, Pieces
 
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(rb"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -44,7 +53,9 @@ CONTEXT = re.compile(
 CONTEXT_WORDS = (b"pass", b"pwd", b"credential", b"secret", b"token", b"api", b"private", b"access", b"client", b"auth", b"bearer", b"account", b"signing", b"encryption")
 CLOSING = b",;:)]}>"
 
-#: Words that guessers try first, most likely first.
+#: A file whose pieces are words by rank.
+VOCABULARY = os.environ.get("PAIRWRIGHT_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
+#: Words that guessers try first, most likely first.
 WORDS = """password admin welcome letmein secret master monkey dragon login qwerty test user root guest
 changeme default example sample demo dummy placeholder hello sunshine princess football baseball
 shadow superman batman trustno access hunter ranger summer winter spring autumn love money freedom
@@ -52,12 +63,11 @@ whatever ninja flower computer internet server database service system office co
 token apikey key pass passwd value none null true false your the my for and with insert here
 january february march april may june july august september october november december
 monday tuesday wednesday thursday friday saturday sunday red green blue black white orange purple""".split()
-#: The rows of a keyboard.
+#: The rows of a keyboard.
 ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm", "abcdefghijklmnopqrstuvwxyz")
 LEET = str.maketrans("013457@$!", "oleastasi")
 DATE = re.compile(r"(?:19|20)\d\d(?:[-/._]?(?:0[1-9]|1[0-2])(?:[-/._]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:(?:19|20)\d\d|\d\d)")
 PIECE = math.log10(2.0)
-LONGEST = max(map(len, WORDS))
 STRONG = 9.0
 
 
@@ -70,7 +80,32 @@ def _next_keys() -> dict[tuple[str, str], int]:
 
 
 STEPS = _next_keys()
-RANKS = {w: i + 1 for i, w in enumerate(WORDS)}
+
+
+@dataclass(frozen=True)
+class Words:
+    """Ranks, from 1, of words in lower case."""
+
+    ranks: dict[str, int]
+    longest: int
+
+    @classmethod
+    def of(cls, words: list[str]) -> Words:
+        once = dict.fromkeys(words)
+        return cls({w: i for i, w in enumerate(once, 1)}, max(map(len, once), default=0))
+
+
+FIRST = Words.of(WORDS)
+
+
+@cache
+def ranked(path: str = VOCABULARY) -> Words:
+    """WORDS, then the whole words among the pieces of a model file, the most frequent first."""
+    if not Path(path).is_file():
+        return FIRST
+    model = Pieces(Path(path).read_bytes())
+    found = [(-model.scores[i], t[1:].lower()) for i, t in enumerate(model.text) if model.kinds[i] == NORMAL and t[0] == SPACE and len(t) > 3 and t[1:].isascii() and t[1:].isalpha()]
+    return Words.of(WORDS + [w for _, w in sorted(found)])
 
 
 def _span(value: str) -> float:
@@ -79,14 +114,14 @@ def _span(value: str) -> float:
     return math.log10(max(pool, 2))
 
 
-def pieces(value: str) -> Iterator[tuple[int, int, float, str]]:
+def pieces(value: str, words: Words = FIRST) -> Iterator[tuple[int, int, float, str]]:
     """start, end, log10 of guesses, kind of each span that a guesser has a short way to."""
     low, n = value.lower(), len(value)
     plain = low.translate(LEET)
     for form, extra in ((low, 0.0), (plain, 0.5)) if plain != low else ((low, 0.0),):
         for i in range(n):
-            for j in range(i + 3, min(n, i + LONGEST) + 1):
-                rank = RANKS.get(form[i:j])
+            for j in range(i + 3, min(n, i + words.longest) + 1):
+                rank = words.ranks.get(form[i:j])
                 if rank:
                     part = value[i:j]
                     case = 0.0 if part == part.lower() else 0.3 if part[1:] == part[1:].lower() or part == part.upper() else math.log10(j - i + 1)
@@ -127,16 +162,16 @@ def pieces(value: str) -> Iterator[tuple[int, int, float, str]]:
         i = max(j - 1, i + 1) if way else i + 1
 
 
-def guess_cost(value: str) -> float:
+def guess_cost(value: str, words: Words = FIRST) -> float:
     """log10 of the guesses of the cheapest segmentation of the value."""
-    return segmentation(value)[0]
+    return segmentation(value, words)[0]
 
 
-def segmentation(value: str) -> tuple[float, list[tuple[int, int, str]]]:
+def segmentation(value: str, words: Words = FIRST) -> tuple[float, list[tuple[int, int, str]]]:
     """The least log10 of guesses, and the cut that has it: (start, end, kind) of each piece."""
     n = len(value)
     by_end: list[list[tuple[int, float, str]]] = [[] for _ in range(n + 1)]
-    for i, j, cost, kind in pieces(value):
+    for i, j, cost, kind in pieces(value, words):
         by_end[j].append((i, cost, kind))
     each = _span(value)
     least: list[float] = [0.0] * (n + 1)
@@ -170,7 +205,7 @@ def _starts(low: bytes, words: tuple[bytes, ...]) -> list[int]:
     return sorted(found)
 
 
-def scan(text: bytes, strong: float = STRONG) -> list[tuple[int, int, int, float]]:
+def scan(text: bytes, strong: float = STRONG, words: Words = FIRST) -> list[tuple[int, int, int, float]]:
     """(start, kind, end, guess cost) of each span in bytes, sorted; the cost is 0 for access and hex."""
     low = text.lower()
     spans = []
@@ -179,7 +214,7 @@ def scan(text: bytes, strong: float = STRONG) -> list[tuple[int, int, int, float
         if i >= end and (m := ASSIGN.match(text, i)):
             end = m.end()
             if end - m.start(1) >= 8:
-                spans.append((i, 0, end, guess_cost(m[1].decode())))
+                spans.append((i, 0, end, guess_cost(m[1].decode(), words)))
     if b"AKIA" in text:
         spans += [(m.start(), 1, m.end(), 0.0) for m in ACCESS.finditer(text) if m.end() - m.start() >= 16]
     spans += [(m.start(), 2, m.end(), 0.0) for m in HEX.finditer(text)]
@@ -193,7 +228,7 @@ def scan(text: bytes, strong: float = STRONG) -> list[tuple[int, int, int, float
         covered = max((e for s, e in inside if s <= m.start(2)), default=0)
         if covered >= end or covered and not m[1] and not text[covered:end].strip(CLOSING):
             continue
-        cost = guess_cost(m[2].decode())
+        cost = guess_cost(m[2].decode(), words)
         if inside or cost >= strong:
             spans.append((i, 3, end, cost))
     return sorted(spans)
@@ -213,28 +248,28 @@ def code_points(text: bytes, spans: list[tuple[int, int, int, float]]) -> list[t
 SPAN = "struct<kind:string,start:long,end:long,cost:double>"
 
 
-def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", strong: float = STRONG) -> DataFrame:
+def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", strong: float = STRONG, words: Words | None = None) -> DataFrame:
     """id, spans (array of kind, start, end, guess cost; sorted by start, then kind) for each row of docs."""
-    kind = dict(docs.dtypes)[id_col]
+    kind, known = dict(docs.dtypes)[id_col], words or ranked()
     into = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("cost", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [[{"kind": KINDS[k], "start": s, "end": e, "cost": c} for s, k, e, c in code_points(t, scan(t, strong))] for t in texts(b.column(1))]
+            found = [[{"kind": KINDS[k], "start": s, "end": e, "cost": c} for s, k, e, c in code_points(t, scan(t, strong, known))] for t in texts(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, into)], names=["id", "spans"])
 
-    return text_batches(docs).select(F.col(id_col).alias("id"), utf8(text_col).alias("t")).mapInArrow(released(run), f"id {kind}, spans array<{SPAN}>")
+    return text_batches(docs).select(F.col(quoted(id_col)).alias("id"), utf8(text_col).alias("t")).mapInArrow(released(run), f"id {kind}, spans array<{SPAN}>")
 
 
-def redact(docs: DataFrame, text_col: str = "text", strong: float = STRONG) -> DataFrame:
+def redact(docs: DataFrame, text_col: str = "text", strong: float = STRONG, words: Words | None = None) -> DataFrame:
     """docs with every span in the text replaced by its kind in capitals, as <ASSIGN>; overlapping spans
     are replaced as one, by the kind of the first. Other columns stay; a null text stays null."""
-    names = docs.columns
+    names, known = docs.columns, words or ranked()
     place = names.index(text_col)
 
     def clean(text: bytes) -> str:
         out, at = [], 0
-        for s, k, e, _ in scan(text, strong):
+        for s, k, e, _ in scan(text, strong, known):
             if s >= at:
                 out += [text[at:s], b"<" + KINDS[k].upper().encode() + b">"]
             at = max(at, e)

@@ -43,6 +43,46 @@ def test_templates_with_edits(spark):
         assert mine and abs(mine[0].start - start) <= 3 and abs(mine[0].end - start - size) <= 3 and mine[0].share >= 0.75, (name, got[n])
 
 
+def brute_verify(found, template, low, high):
+    """The longest common sequence on the diagonals, by the whole table."""
+    best = {}
+    for i in range(len(found) + 1):
+        for j in range(len(template) + 1):
+            best[i, j] = max(best.get((i - 1, j), 0), best.get((i, j - 1), 0), best[i - 1, j - 1] + 1 if i and j and found[i - 1] == template[j - 1] and low <= i - j <= high else 0)
+    return best[len(found), len(template)] / len(template)
+
+
+def test_band_equals_whole_table():
+    rng = random.Random(3)
+    for _ in range(300):
+        template = [rng.choice("abcdefgh") for _ in range(rng.randrange(1, 25))]
+        found = [rng.choice("abcdefgh") for _ in range(rng.randrange(4))] + [w for w in template if rng.random() < 0.9 for w in ([w] if rng.random() < 0.9 else [w, "x"])]
+        low = rng.randrange(-4, 4)
+        high = low + rng.randrange(9)
+        share, a, b = licenses.verify(found, template, low, high)
+        assert share == brute_verify(found, template, low, high), (found, template, low, high)
+        assert 0 <= a <= b <= len(found)
+
+
+def test_notice_with_a_page_header_in_the_middle(spark):
+    words = licenses.TEMPLATES["isc-notice"].split()
+    header = "page two of nine acme corporation annual report of the year".split()
+    rows = [(1, " ".join(words[:16] + header + words[16:]), None, None, None), (2, " ".join(words[:16] + header * 40 + words[:16]), None, None, None)]
+    got = {r.id: [(s.template, s.start, s.end, s.share) for s in r.spans] for r in licenses.licenses(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got[1] == [("isc-notice", 0, len(words) + len(header), 1.0)] and got[2] == []
+
+
+def test_whole_texts_of_a_folder(spark, tmp_path):
+    rng = random.Random(5)
+    text = " ".join("".join(rng.choice("aeioubdfg") for _ in range(5)) for _ in range(1_500))
+    (tmp_path / "Own-1.0").write_text(text)
+    known = licenses.texts_of(str(tmp_path))
+    assert list(known) == ["own-1.0-text"] and licenses.texts_of(str(tmp_path / "none")) == {}
+    rows = [(1, "before " + text.replace(" ", "\n", 40) + " after", None, None, None), (2, text[:3_000], None, None, None)]
+    got = {r.id: r.spans for r in licenses.licenses(spark.createDataFrame(rows, SCHEMA), templates=known).collect()}
+    assert [(s.template, s.start, s.end, s.share) for s in got[1]] == [("own-1.0-text", 1, 1_501, 1.0)] and not got[2]
+
+
 def test_common_words_alone_are_no_license(spark):
     rows = [(1, "the terms of the work and the use of this software is free of any kind", None, None, None), (2, "licensed plumbers under the bridge", None, None, None)]
     assert all(not r.spans and not r.base for r in licenses.licenses(spark.createDataFrame(rows, SCHEMA)).collect())
