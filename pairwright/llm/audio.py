@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairwright.llm.common import released, table, text_batches, texts, utf8
+from pairwright.llm.common import quoted, released, table, text_batches, texts, utf8
 
 BLOCK = 64
 RATE = 16_000
@@ -220,7 +220,7 @@ def media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                 raw = list(texts(part.column(1)))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(len, raw), pa.int64()), pa.array([encode_wav(payload(t)) for t in raw], pa.binary())], names=["id", "n_bytes", "media"])
 
-    return text_batches(docs).select(F.col(id_col).alias("id"), utf8(text_col).alias("t")).mapInArrow(released(run), f"id {kind}, n_bytes long, media binary")
+    return text_batches(docs).select(F.col(quoted(id_col)).alias("id"), utf8(text_col).alias("t")).mapInArrow(released(run), f"id {kind}, n_bytes long, media binary")
 
 
 def _slices(b: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:

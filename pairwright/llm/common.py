@@ -123,6 +123,11 @@ def released(run):
     return all_of
 
 
+def in_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow, whatever the names of df's columns; the batches' columns go by place."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]).mapInArrow(released(run), schema)
+
+
 def row_hash(df: DataFrame, seed: int = 0) -> Column:
     """A hash of all columns of a row."""
     plain = lambda f: F.to_json(F.col(quoted(f.name))) if "map<" in f.dataType.simpleString() else F.col(quoted(f.name))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pairwright.llm.common import fresh, released, small, stored, table, text_batches, texts, utf8
+from pairwright.llm.common import fresh, quoted, released, small, stored, table, text_batches, texts, utf8
 
 WINDOW = 256
 WIDE = 5
@@ -149,7 +149,7 @@ def least_hashes(rows: DataFrame, by: str, each: int, order: list[str]) -> DataF
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> Network | None:
     """A network for the languages of the labelled rows (non-null language and text with a letter)."""
-    rows = labelled.where(F.col(lang_col).isNotNull() & has_letter(F.col(text_col)))
+    rows = labelled.where(F.col(lang_col).isNotNull() & has_letter(F.col(quoted(text_col))))
     h = F.xxhash64(F.col(id_col), F.char_length(text_col))
     start = F.pmod(h, F.greatest(F.char_length(text_col) - WINDOW // 2, F.lit(1))) + 1
     rows = rows.select(F.col(lang_col).alias("lang"), h.alias("h"), F.substr(F.col(text_col), start.cast("int"), F.lit(WINDOW)).alias("piece"))
@@ -165,7 +165,7 @@ def has_letter(text: Column) -> Column:
 def predict(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, lang_pred, score for each row of docs."""
     kind = dict(docs.dtypes)[id_col]
-    rows = text_batches(docs).select(F.col(id_col).alias("id"), utf8(text_col).alias("t"), has_letter(F.col(text_col)).alias("letter"))
+    rows = text_batches(docs).select(F.col(quoted(id_col)).alias("id"), utf8(text_col).alias("t"), has_letter(F.col(quoted(text_col))).alias("letter"))
 
     def block(ids: list, parts: list[bytes], letter: list[bool]) -> pa.RecordBatch:
         windows = [cut(t) for t, yes in zip(parts, letter) if yes]

@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairwright.llm.common import columns as named
-from pairwright.llm.common import fresh, give_back, quoted, schema_of, table, text_batches, texts, utf8
+from pairwright.llm.common import fresh, in_arrow, quoted, schema_of, table, text_batches, texts, utf8
 
 #: Where the query finds its model.
 MODEL = os.environ.get("PAIRWRIGHT_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
@@ -502,9 +502,8 @@ def encode(docs: DataFrame, model: bytes, columns: list[str], text_col: str = "t
                     back = [pieces.decode(x) for x in ids]
                     out += [pa.array([hashlib.sha256(t.encode()).hexdigest() for t in back]), pa.array([x == y for x, y in zip(back, docs_)], pa.bool_())]
                 yield pa.RecordBatch.from_arrays(out, names=[*columns, "ids", *["text_sha256", "round_trip"] * check])
-        give_back()
 
-    return rows.mapInArrow(run, schema_of(docs, columns, "ids array<int>", *["text_sha256 string", "round_trip boolean"] * check))
+    return in_arrow(rows, run, schema_of(docs, columns, "ids array<int>", *["text_sha256 string", "round_trip boolean"] * check))
 
 
 def decode(encoded: DataFrame, model: bytes, columns: list[str], ids_col: str = "ids") -> DataFrame:
@@ -518,7 +517,7 @@ def decode(encoded: DataFrame, model: bytes, columns: list[str], ids_col: str =
             found = [pieces.decode(np.array(x, dtype=np.int32)) for x in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(found, pa.string())], names=[*columns, "text"])
 
-    return rows.mapInArrow(run, schema_of(encoded, columns, "text string"))
+    return in_arrow(rows, run, schema_of(encoded, columns, "text string"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairwright.llm.common import quoted, released, table, text_batches, texts, utf8
+from pairwright.llm.common import in_arrow, quoted, released, table, text_batches, texts, utf8
 from pairwright.llm.pieces import NORMAL, SPACE, Pieces
 
 KINDS = ("assign", "access", "hex", "guess")
@@ -280,7 +280,7 @@ def redact(docs: DataFrame, text_col: str = "text", strong: float = STRONG, word
             new = pa.array([None if not x.is_valid else clean(x.as_py().encode()) for x in b.column(place)], pa.string())
             yield pa.RecordBatch.from_arrays([new if i == place else c for i, c in enumerate(b.columns)], names=names)
 
-    return text_batches(docs).mapInArrow(released(run), docs.schema)
+    return in_arrow(text_batches(docs), run, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

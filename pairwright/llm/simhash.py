@@ -10,7 +10,8 @@ key only the links of a spanning forest are kept, at most one less than its memb
 Equal fingerprints are one class from the start; copies are never expanded to pairs.
 
 Defined results: a null text counts as empty; a text without words has fingerprint zero and links as
-any other; rows that repeat stay as rows, with one class; a null id takes no part in the smallest id.
+any other; a text of any length is read whole; rows that repeat stay as rows, with one class; a null id takes
+no part in the smallest id; columns of other names have no effect; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairwright.llm.common import HOT_ROWS, join_groups, released, small, stored, table, text_batches, texts, utf8
+from pairwright.llm.common import HOT_ROWS, join_groups, quoted, released, small, stored, table, text_batches, texts, utf8
 from pairwright.llm.components import components
 
 BITS = 64
@@ -63,7 +64,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = np.array([fingerprint(shingle_hashes(t, shingle)) for t in texts(b.column(1))], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["id", "fp"])
 
-    return text_batches(docs).select(F.col(id_col).alias("id"), utf8(text_col).alias("t")).mapInArrow(released(run), f"id {kind}, fp long")
+    return text_batches(docs).select(F.col(quoted(id_col)).alias("id"), utf8(text_col).alias("t")).mapInArrow(released(run), f"id {kind}, fp long")
 
 
 def block_masks(bits: list[int], blocks: int = 6, kept: int = 3) -> list[int]:

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pairwright.llm.common import columns as named
-from pairwright.llm.common import fresh, released, schema_of, stored, table, text_batches, texts, utf8
+from pairwright.llm.common import fresh, in_arrow, quoted, released, schema_of, stored, table, text_batches, texts, utf8
 from pairwright.llm.language import held_out, least_hashes
 
 PER_LABEL = 1_500
@@ -329,9 +329,9 @@ def groups(bands: list[list[int]]) -> list[int]:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_label: int = PER_LABEL) -> Model:
     """A model from the labels (id, label) and the texts of docs."""
-    rows = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic"), F.xxhash64(id_col).alias("h")).distinct()
+    rows = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(quoted(id_col)).alias("id"), F.col(label_col).cast("int").alias("toxic"), F.xxhash64(id_col).alias("h")).distinct()
     chosen = least_hashes(stored(rows), "toxic", 2 * per_label, ["h", "id"])  # 4 * per_label rows at most: small enough to broadcast
-    joined = docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("t")).join(F.broadcast(chosen), "id")
+    joined = docs.select(F.col(quoted(id_col)).alias("id"), utf8(text_col).alias("t")).join(F.broadcast(chosen), "id")
     read = joined.select("t", "toxic", F.xxhash64("h", "t").alias("h")).dropDuplicates(["toxic", "h"])
     sample = stored(read.mapInArrow(_sketches, "t binary, toxic int, h long, bands array<long>"))
     seen = sorted(tuple(r) for r in sample.select("h", "toxic", "bands").collect())  # BANDS numbers a row of the sample
@@ -432,7 +432,7 @@ def score(docs: DataFrame, model: Model, columns: list[str], text_col: str = "te
                     s = model.scores([features(f, hits) for f in found])
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(s, pa.float64())], names=[*columns, out])
 
-    return rows.mapInArrow(released(run), schema_of(docs, columns, f"`{out}` double"))
+    return in_arrow(rows, run, schema_of(docs, columns, f"`{out}` double"))
 
 
 def trained(spark: SparkSession, sf_dir: str, docs: DataFrame) -> Model:
