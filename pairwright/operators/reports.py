@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairwright.functions.hashing import hash_order
-from pairwright.operators.verdicts import FAILED, PASSED, SKIPPED, VALIDATION_SKIPPED, Evaluation
+from pairwright.operators.mapping import Relation
+from pairwright.operators.verdicts import FAILED, PASSED, SKIPPED, VALIDATION_SKIPPED, Evaluation, compacted, evaluate, told
+from pairwright.sources.tables import WEIGHT
 
 GROUPED = (PASSED, FAILED, VALIDATION_SKIPPED)
 
@@ -28,34 +30,59 @@ def counters(verdicts: DataFrame) -> DataFrame:
     )
 
 
-def _limit(limits: list[int]) -> Column:
-    return F.array(*[F.lit(n) for n in limits])[F.col("rule")]
+def count(evaluation: Evaluation) -> DataFrame:
+    """The counters of an evaluation, in one pass of columns over its table: rows that are alike in the cells
+    that rules read are looked at once, if there are many of them, and no verdict becomes a row."""
+    table, program, references, row_filter = evaluation.inputs
+    alike = evaluate(compacted(table, evaluation.plan, row_filter), program, references)
+    n = F.col(WEIGHT) if WEIGHT in alike.wide.columns else F.lit(1)
+    parts, sums = [], []
+    for p in alike.plan.rules:
+        v, i = told(p), p.index
+        parts += [v["outcome"].alias(f"o{i}"), v["transform_error"].alias(f"t{i}"), v["unmapped"].alias(f"u{i}")]
+        of = lambda c: F.coalesce(F.sum(F.when(c, F.col("n")).otherwise(0)), F.lit(0)).cast("long")
+        each = [(F.lit(True), "checked"), *[(F.col(f"o{i}") == x, x) for x in (PASSED, FAILED, SKIPPED, VALIDATION_SKIPPED)], (F.col(f"t{i}"), "transform_errors")]
+        unmapped = F.coalesce(F.sum(F.col(f"u{i}") * F.col("n")), F.lit(0)).cast("long")
+        sums.append(F.struct(F.lit(i).alias("rule"), *[of(c).alias(name) for c, name in each], unmapped.alias("unmapped")))
+    one = alike.wide.select(n.cast("long").alias("n"), *parts).agg(F.array(*sums).alias("r"))
+    return one.select(F.explode("r").alias("r")).select("r.*").where("checked > 0")
+
+
+def _within(place: Column, limits: list[int]) -> Column:
+    """Whether a place is within its rule's limit; the largest limit, a literal, stops the windows."""
+    return (place <= max(limits, default=0)) & (place <= F.array(*[F.lit(n) for n in limits])[F.col("rule")])
 
 
 KEY = ["rule", "outcome", "left", "right", "expected"]
 
 
+def _same(a: str, b: str) -> Column:
+    on = F.lit(True)
+    for k in KEY:
+        on = on & F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}"))
+    return on
+
+
 def top_groups(verdicts: DataFrame, limits: list[int]) -> DataFrame:
     """The most frequent (left, right, expected) of each rule and outcome; place from 1."""
     n = verdicts.where(F.col("outcome").isin(*GROUPED)).groupBy(*KEY).agg(F.count("*").alias("count"))
     order = Window.partitionBy("rule", "outcome").orderBy(F.desc("count"), "left", "right", F.asc_nulls_first("expected"))
-    return n.withColumn("place", F.row_number().over(order)).where(F.col("place") <= _limit(limits))
+    return n.withColumn("place", F.row_number().over(order)).where(_within(F.col("place"), limits))
 
 
 def group_ids(verdicts: DataFrame, groups: DataFrame, limits: list[int]) -> DataFrame:
-    """The groups with ids: the different ids of each with the smallest hashes, in the order of these.
+    """The groups (which the limits bound) with ids: the different ids of each with the smallest hashes, in the order of these.
 
-    Ids are ranked in windows that stop at the limit, so that a large group never gathers its ids.
+    Only the groups' rows go on; their ids are ranked in windows that stop at the largest limit, so that a large
+    group never gathers its ids.
     """
-    rows = verdicts.where(F.col("outcome").isin(*GROUPED)).select(*KEY, "_id").distinct().withColumn("_h", hash_order(F.col("_id")))
-    ranked = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*KEY).orderBy("_h", "_id"))).where(F.col("_n") <= _limit(limits))
+    kept = F.broadcast(groups.select(*KEY)).alias("g")  # limit groups for each rule and outcome at most
+    rows = verdicts.alias("v").join(kept, _same("v", "g"), "left_semi").select(*KEY, "_id").distinct().withColumn("_h", hash_order(F.col("_id")))
+    place = F.row_number().over(Window.partitionBy(*KEY).orderBy("_h", "_id"))
+    ranked = rows.withColumn("_n", place).where(_within(F.col("_n"), limits))
     ids = ranked.groupBy(*KEY).agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "_id"))), lambda x: x["_id"]).alias("ids"))
-    a, b = groups.alias("a"), ids.alias("b")
-    on = None
-    for k in KEY:
-        same = F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
-        on = same if on is None else on & same
-    return a.join(b, on, "left").select("a.*", F.coalesce("b.ids", F.array().cast("array<string>")).alias("ids"))
+    joined = groups.alias("a").join(ids.alias("b"), _same("a", "b"), "left")
+    return joined.select("a.*", F.coalesce("b.ids", F.array().cast("array<string>")).alias("ids"))
 
 
 def ambiguity_examples(verdicts: DataFrame, limits: list[int]) -> DataFrame:
@@ -64,24 +91,26 @@ def ambiguity_examples(verdicts: DataFrame, limits: list[int]) -> DataFrame:
     first = rows.groupBy("rule", "token").agg(F.min_by(F.struct(F.col("_id").alias("id"), F.col("_row").alias("row"), F.col("token").alias("left"), "right", "expected"), "_row").alias("example"))
     order = Window.partitionBy("rule").orderBy("_h", "token")
     ranked = first.withColumn("_h", hash_order(F.col("token"))).withColumn("_n", F.row_number().over(order))
-    return ranked.where(F.col("_n") <= _limit(limits)).select("rule", "token", "example")
+    return ranked.where(_within(F.col("_n"), limits)).select("rule", "token", "example")
 
 
-def mapping_entries(relation: DataFrame) -> DataFrame:
+def mapping_entries(relation: Relation) -> DataFrame:
     """input, canonical, ambiguous, targets of each left token."""
-    return relation.select(F.col("token").alias("input"), "hit.canonical", "hit.ambiguous", "hit.targets")
+    best = relation.best().select("token", "canonical", "ambiguous")
+    return best.join(relation.targets(best.select("token")), "token").select(F.col("token").alias("input"), "canonical", "ambiguous", "targets")
 
 
-def ambiguities(relation: DataFrame, limit: int) -> DataFrame:
-    """The ambiguous inputs with most targets, then most rows, then by text."""
-    e = mapping_entries(relation).where("ambiguous")
-    total = F.aggregate("targets", F.lit(0).cast("bigint"), lambda s, t: s + t["n"])
-    return e.orderBy(F.desc(F.size("targets")), F.desc(total), "input").limit(limit)
+def ambiguities(relation: Relation, limit: int) -> DataFrame:
+    """The ambiguous inputs with most targets, then most rows, then by text: input, place, how many targets, and the first of them."""
+    order = [F.desc("targets"), F.desc("rows"), F.asc("token")]
+    top = relation.best().where("ambiguous").select("token", F.col("targets").alias("n_targets"), "rows", F.struct((-F.col("targets")).alias("t"), (-F.col("rows")).alias("r"), "token").alias("place"))
+    top = top.withColumnRenamed("n_targets", "targets").orderBy(*order).limit(limit).withColumnRenamed("targets", "n_targets")
+    return top.join(relation.targets(top.select("token"), limit), "token").select(F.col("token").alias("input"), "place", "n_targets", "targets")
 
 
-def report(evaluation: Evaluation) -> dict:
+def report(evaluation: Evaluation, most_entries: int | None = None) -> dict:
     """The whole report as plain data; its size is bounded by the rules' limits, but for the mappings, which
-    are listed in full."""
+    are listed in full, or up to most_entries of them (mapping_entries gives them as a table)."""
     plan, v = evaluation.plan, evaluation.verdicts
     v = v.persist()
     limits = [p.limit for p in plan.rules]
@@ -104,14 +133,19 @@ def report(evaluation: Evaluation) -> dict:
         unclear = 0
         if (p.index, 0) in evaluation.relations:
             rel = evaluation.relations[p.index, 0]
-            entries = [{"input": e.input, "canonical": e.canonical, "ambiguous": e.ambiguous, "targets": [{"value": t.target, "count": t.n} for t in e.targets]} for e in mapping_entries(rel).orderBy("input").collect()]
-            unclear = sum(e["ambiguous"] for e in entries)
+            rel = Relation(rel.counts.persist(), rel.multi_target)
+            total = rel.best().agg(F.count("*").alias("inputs"), F.count_if("ambiguous").alias("unclear")).first()
+            unclear = total["unclear"]
+            listed_entries = mapping_entries(rel).orderBy("input")
+            listed_entries = listed_entries if most_entries is None else listed_entries.limit(most_entries)
+            entries = [{"input": e.input, "canonical": e.canonical, "ambiguous": e.ambiguous, "targets": [{"value": t.target, "count": t.n} for t in e.targets]} for e in listed_entries.collect()]
             listed = []
-            for e in ambiguities(rel, p.limit).collect():
+            for e in ambiguities(rel, p.limit).orderBy("place").collect() if p.limit and unclear else ():
                 x = examples.get((p.index, e.input))
                 shown = [{k: w for k, w in x.asDict().items() if w is not None}] if x is not None else []
-                listed.append({"input": e.input, "targets": [{"value": t.target, "count": t.n} for t in e.targets[: p.limit]], "examples": shown})
-            one["mapping"] = {"source": "auto" if p.auto else "file", "distinct_inputs": len(entries), "ambiguous_inputs": unclear, "entries": entries, "ambiguities": listed}
+                listed.append({"input": e.input, "targets": [{"value": t.target, "count": t.n} for t in e.targets], "examples": shown})
+            one["mapping"] = {"source": "auto" if p.auto else "file", "distinct_inputs": total["inputs"], "ambiguous_inputs": unclear, "entries": entries, "ambiguities": listed}
+            rel.counts.unpersist()
         if one["rows_failed"] or unclear:
             one["status"] = FAILED
         rules.append(one)

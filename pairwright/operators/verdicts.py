@@ -17,7 +17,7 @@ from pairwright.functions.predicates import compile_predicate
 from pairwright.operators import mapping
 from pairwright.plans.compiled import Plan, RulePlan, compile_program, resolver
 from pairwright.plans.rules import Program
-from pairwright.sources.tables import Table
+from pairwright.sources.tables import WEIGHT, Table
 
 PASSED, FAILED, SKIPPED, VALIDATION_SKIPPED = "passed", "failed", "skipped", "validation_skipped"
 UNMAPPED = "\0"
@@ -27,8 +27,27 @@ UNMAPPED = "\0"
 class Evaluation:
     plan: Plan
     verdicts: DataFrame
-    relations: dict[tuple[int, int], DataFrame] = field(default_factory=dict)
+    relations: dict[tuple[int, int], mapping.Relation] = field(default_factory=dict)
     table: Table | None = None
+    wide: DataFrame | None = None  # a row for each row of the table, before the verdicts are put one below the other
+    inputs: tuple = ()
+
+
+#: Rows for each different row of cells from which on a table is worth compacting.
+REPEATS = 4
+
+
+def compacted(table: Table, plan: Plan, row_filter: Column | None = None) -> Table:
+    """The table with one row, and how many it stands for, for all rows that are alike in the cells that rules
+    read; as it is if there are not enough of them. The number of different ones is estimated in one pass."""
+    used = [f"c{i}" for i in sorted(set().union(*[p.cells for p in plan.rules]))]
+    df = table.df if row_filter is None else table.df.where(row_filter)
+    if used:
+        found = df.agg(F.count("*").alias("rows"), F.approx_count_distinct(F.xxhash64(*used)).alias("different")).first()
+        if found["different"] * REPEATS > found["rows"]:
+            return Table(df, table.headers)
+    alike = df.groupBy(*used).agg(F.count("*").alias(WEIGHT))
+    return Table(alike.select(*used, WEIGHT, F.lit(0).cast("long").alias("_row"), F.lit("").alias("_id")), table.headers)
 
 
 def prepare(table: Table, plan: Plan, row_filter: Column | None = None) -> DataFrame:
@@ -65,10 +84,16 @@ def evaluate(table: Table, program: Program, references: mapping.References | No
             df = mapping.look_up(df, f"k{p.index}_{k}", p.multi, p.separator, found[p.index, k], f"e{p.index}_{k}")
     each = F.explode(F.array(*[_verdict(p) for p in plan.rules])).alias("v")
     kept = [F.array(*[F.col(f"c{i}") for i in range(len(table.headers))]).alias("cells")] if cells else []
-    return Evaluation(plan, df.select("_row", "_id", *kept, each).select("_row", "_id", *(["cells"] if cells else []), "v.*"), found, table)
+    below = df.select("_row", "_id", *kept, each).select("_row", "_id", *(["cells"] if cells else []), "v.*")
+    return Evaluation(plan, below, found, table, df, (table, program, references, row_filter))
 
 
 def _verdict(p: RulePlan) -> Column:
+    return F.struct(*[c.alias(n) for n, c in told(p).items()])
+
+
+def told(p: RulePlan) -> dict[str, Column]:
+    """What a rule says of a row, by name."""
     i = p.index
     left, right, skip = F.col(f"l{i}"), F.col(f"r{i}"), F.col(f"skip{i}")
     left_ok, right_ok = F.col(f"lok{i}"), F.col(f"rok{i}")
@@ -129,16 +154,16 @@ def _verdict(p: RulePlan) -> Column:
         optional = (first == "") if p.pattern else (first == "") & (right == "")
     outcome = F.when(skip, VALIDATION_SKIPPED).when(optional, SKIPPED).when(matched, PASSED).otherwise(FAILED)
     tested = ~skip & ~optional
-    return F.struct(
-        F.lit(i).alias("rule"),
-        F.when(skip, left).when(optional, first).otherwise(shown).alias("left"),
-        right.alias("right"),
-        F.when(tested, expected).alias("expected"),
-        outcome.alias("outcome"),
-        (tested & ~ok).alias("transform_error"),
-        F.when(tested, unmapped).otherwise(0).cast("long").alias("unmapped"),
-        F.when(tested, ambiguous).otherwise(F.array().cast("array<struct<token:string,expected:string>>")).alias("ambiguous"),
-    )
+    return {
+        "rule": F.lit(i),
+        "left": F.when(skip, left).when(optional, first).otherwise(shown),
+        "right": right,
+        "expected": F.when(tested, expected),
+        "outcome": outcome,
+        "transform_error": tested & ~ok,
+        "unmapped": F.when(tested, unmapped).otherwise(0).cast("long"),
+        "ambiguous": F.when(tested, ambiguous).otherwise(F.array().cast("array<struct<token:string,expected:string>>")),
+    }
 
 
 def _entries(p: RulePlan, k: int) -> Column:

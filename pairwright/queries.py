@@ -55,7 +55,7 @@ def judged(spark: SparkSession, sf_dir: str, name: str, text: str, columns: list
 
 
 def counted(e: verdicts.Evaluation) -> DataFrame:
-    return reports.counters(e.verdicts)
+    return reports.count(e)
 
 
 def small_table(spark: SparkSession, names: str, rows: list[tuple]) -> DataFrame:
@@ -88,19 +88,19 @@ BRAND_BEST = f"SELECT token, target, n, row_number() OVER (PARTITION BY token OR
 @query("auto_mapping_counts", BRAND_COUNTS)
 def _(spark, d):
     e = judged(spark, d, "part", BRAND, BRAND_COLUMNS)
-    return e.relations[0, 0].select("token", F.explode("hit.targets").alias("t")).select("token", "t.target", "t.n")
+    return e.relations[0, 0].counts.select("token", "target", "n")
 
 
 @query("auto_mapping_canonical", f"SELECT token, target AS canonical, m > 1 AS ambiguous, CAST(m AS INT) AS targets FROM ({BRAND_BEST}) WHERE k = 1")
 def _(spark, d):
     r = judged(spark, d, "part", BRAND, BRAND_COLUMNS).relations[0, 0]
-    return r.select("token", "hit.canonical", "hit.ambiguous", F.size("hit.targets").alias("targets"))
+    return r.best().select("token", "canonical", "ambiguous", F.col("targets").cast("int").alias("targets"))
 
 
 @query("auto_mapping_ambiguous", f"SELECT token AS input, CAST(m AS INT) AS targets FROM ({BRAND_BEST}) WHERE k = 1 AND m > 1 ORDER BY m DESC, s DESC, token LIMIT 10")
 def _(spark, d):
     r = judged(spark, d, "part", BRAND, BRAND_COLUMNS).relations[0, 0]
-    return reports.ambiguities(r, 10).select("input", F.size("targets").alias("targets"))
+    return reports.ambiguities(r, 10).select("input", F.col("n_targets").cast("int").alias("targets"))
 
 
 @query("auto_rule_counters", counts_sql(f"part JOIN (SELECT token, target FROM ({BRAND_BEST}) WHERE k = 1) ON token = lower(p_brand)", PASS.format("p_type = target")))
@@ -140,7 +140,7 @@ def _(spark, d):
     refs = {"one": small_table(spark, "flag status", [("A", "F"), ("R", "F")]), "two": small_table(spark, "status flag", [("F", "A"), ("O", "R"), ("O", "N")])}
     text = rule("flags", left="l_returnflag", right="l_linestatus", mapping_files="[one, two]", mapping_left="flag", mapping_right="status")
     e = judged(spark, d, "lineitem", text, ["l_orderkey", "l_returnflag", "l_linestatus"], refs)
-    return e.relations[0, 0].select("token", F.explode("hit.targets").alias("t")).select("token", "t.target", "t.n")
+    return e.relations[0, 0].counts.select("token", "target", "n")
 
 
 @query("shared_reference", counts_sql("orders", PASS.format("CASE o_orderstatus WHEN 'O' THEN 'open' WHEN 'F' THEN 'done' END IS NOT DISTINCT FROM 'open'"), unmapped="CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END"))
@@ -370,11 +370,23 @@ def _(spark, d):
     return reports.top_groups(e.verdicts, [4]).select("outcome", "left", "right", "count", "place")
 
 
-@query("group_ids_minhash")
+#: FNV-1a of 64 bits over the digits of a key.
+FNV_SQL = "list_reduce(list_prepend(CAST(14695981039346656037 AS HUGEINT), list_transform(string_split(id, ''), lambda c: CAST(ascii(c) AS HUGEINT))), lambda h, b: (xor(h, b) * 1099511628211) % 18446744073709551616)"
+
+
+@query(
+    "group_ids_minhash",
+    f"""
+WITH v AS (SELECT o_orderstatus AS l, o_orderpriority AS r, CAST(o_orderkey AS VARCHAR) AS id FROM orders),
+g AS (SELECT *, row_number() OVER (ORDER BY n DESC, l, r) AS place FROM (SELECT l, r, count(*) AS n FROM v GROUP BY 1, 2)),
+h AS (SELECT l, r, n, place, id, row_number() OVER (PARTITION BY l, r ORDER BY {FNV_SQL}, id) AS k FROM v JOIN g USING (l, r) WHERE place <= 5)
+SELECT 'failed' AS outcome, l AS "left", r AS "right", n AS count, CAST(place AS INT) AS place, string_agg(id, ',' ORDER BY k) AS ids
+FROM h WHERE k <= 5 GROUP BY ALL""",
+)
 def _(spark, d):
     t = table(spark, d, "orders", ["o_orderkey", S, P], "o_orderkey")
     v = verdicts.evaluate(t, rules.parse(rule("o", left=S, right=P))).verdicts
-    return reports.group_ids(v, reports.top_groups(v, [5]), [5]).select("outcome", "left", "right", "count", "place", "ids")
+    return reports.group_ids(v, reports.top_groups(v, [5]), [5]).select("outcome", "left", "right", "count", "place", F.array_join("ids", ",").alias("ids"))
 
 
 @query("ambiguity_examples", f"SELECT token, first_row FROM (SELECT lower(p_brand) AS token, min(p_partkey) AS first_row FROM part GROUP BY 1) JOIN (SELECT token FROM ({BRAND_BEST}) WHERE k = 1 AND m > 1) USING (token)")

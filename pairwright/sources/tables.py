@@ -18,6 +18,10 @@ from pyspark.sql import functions as F
 from pairwright.functions.patterns import trim
 
 
+#: How many rows a row stands for, in tables where alike ones are put together.
+WEIGHT = "_n"
+
+
 class TableError(ValueError):
     pass
 

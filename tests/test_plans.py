@@ -38,3 +38,22 @@ def test_small_relations_are_broadcast(spark, tmp_path):
     df = reports.counters(verdicts.evaluate(t, rules.parse('rule "x" {\n left = a\n right = b\n mapping = auto\n}\n')).verdicts)
     df.collect()
     assert "BroadcastHashJoin" in plan(df)
+
+
+def test_windows_stop_at_the_limits(spark):
+    t = tables.from_frame(spark.range(100).select("id", (F.col("id") % 7).cast("string").alias("a"), (F.col("id") % 3).cast("string").alias("b")), row=F.col("id"))
+    v = verdicts.evaluate(t, rules.parse('rule "x" {\n left = a\n right = b\n mapping = auto\n}\n')).verdicts
+    groups = reports.top_groups(v, [3])
+    for df in (groups, reports.group_ids(v, groups, [3]), reports.ambiguity_examples(v, [3])):
+        assert "WindowGroupLimit" in plan(df)
+
+
+def test_counting_looks_at_alike_rows_once(spark):
+    df = spark.range(10_000).select("id", (F.col("id") % 7).cast("string").alias("a"), (F.col("id") % 3).cast("string").alias("b"))
+    text = 'rule "x" {\n left = a\n right = b\n}\nrule "y" {\n left = a\n right = b\n mapping = auto\n multi = true\n}\n'
+    ev = verdicts.evaluate(tables.from_frame(df, row=F.col("id")), rules.parse(text))
+    got = reports.count(ev)
+    assert "Generate explode(array(" in plan(got) or "HashAggregate" in plan(got)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, reports.counters(ev.verdicts).collect()))
+    one = verdicts.evaluate(tables.from_frame(spark.range(50).select("id", F.col("id").cast("string").alias("a")), row=F.col("id")), rules.parse('rule "x" {\n left = a\n right = a\n}\n'))
+    assert sorted(map(tuple, reports.count(one).collect())) == sorted(map(tuple, reports.counters(one.verdicts).collect()))
