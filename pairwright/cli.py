@@ -10,6 +10,7 @@ from pairwright.functions.patterns import PatternError
 from pairwright.operators import mapping, reports, search, verdicts
 from pairwright.plans import rules
 from pairwright.plans.rules import RuleError
+from pairwright.progress import Progress
 from pairwright.session import session
 from pairwright.sources import generator, tables
 from pairwright.sources.tables import TableError
@@ -67,7 +68,8 @@ def main(argv: list[str] | None = None) -> int:
         program = rules.with_limit(rules.load(a.rules), a.examples)
         table = tables.from_stdin(spark, sep, a.id_column) if a.input == "-" else tables.from_csv(spark, a.input, sep, a.id_column)
         references = mapping.References(spark, sep=sep, folder=str(Path.cwd()))
-        report = reports.report(verdicts.evaluate(table, program, references))
+        with Progress(spark, not a.no_progress and sys.stderr.isatty()):
+            report = reports.report(verdicts.evaluate(table, program, references))
     except (RuleError, TableError, PatternError, ValueError, OSError) as e:
         print(f"error: {e}", file=sys.stderr)
         return 1

@@ -1,5 +1,6 @@
 import json
 
+import numpy as np
 import pytest
 
 from pairwright.functions.hashing import fnv1a
@@ -7,7 +8,7 @@ from pairwright.operators import mapping, reports, search, verdicts
 from pairwright.plans import rules
 from pairwright.plans.rules import RuleError
 from pairwright.sources import generator, tables
-from tests.fixtures import PEOPLE, PEOPLE_RULES
+from tests.fixtures import DESKS, LOAN_RULES, LOANS
 
 
 def write(folder, name, text):
@@ -27,33 +28,52 @@ def numbers(r):
 
 
 @pytest.fixture(scope="module")
-def people(spark, tmp_path_factory):
-    refs = {"map1": "city,code\nParis,PAR\nLyon,LYO", "map2": "city,code\nBerlin,BER\nLondon,LON\nParis,PAR2"}
-    _, ev = run(spark, tmp_path_factory.mktemp("p"), PEOPLE, PEOPLE_RULES, refs, id_column="id")
+def loans(spark, tmp_path_factory):
+    _, ev = run(spark, tmp_path_factory.mktemp("p"), LOANS, LOAN_RULES, DESKS, id_column="loan")
     return reports.report(ev)
 
 
-def test_people(people):
-    dates, country, tags, city = people["rules"]
-    assert numbers(dates) == (8, 5, 3, 0, 0, 1, 0) and dates["status"] == "failed"
-    assert numbers(country)[:3] == (8, 7, 1)
-    m = country["mapping"]
-    assert (m["distinct_inputs"], m["ambiguous_inputs"], m["ambiguities"][0]["input"]) == (4, 1, "france")
-    top = country["pass_results"][0]
-    assert (top["left"], top["right"], top["count"], top["ids"]) == ("france", "FR", 4, ["7", "1", "2", "8"])
-    assert country["fail_results"][0]["ids"] == ["5"]
-    assert numbers(tags)[:3] == (8, 7, 1)
-    assert numbers(city)[:3] == (8, 8, 0) and city["status"] == "failed" and city["mapping"]["ambiguous_inputs"] == 1
-    assert (people["rules_total"], people["rules_failed"], people["rows_checked"]) == (4, 4, 8)
-
-
-def test_renderings(people):
-    assert json.loads(reports.render_json(people)) == people
-    text, page = reports.render_text(people), reports.render_html(people, "A <title>")
-    assert "[FAIL] country" in text and "france" in text
+def by_hash(*ids):
+    return [i for _, i in sorted(zip(fnv1a([i.encode() for i in ids]).tolist(), ids))]
+
+
+def test_loans(loans):
+    tariff, desk, days, scanned = loans["rules"]
+    assert numbers(tariff) == (7, 6, 1, 0, 0, 0, 0) and tariff["status"] == "failed"
+    m = tariff["mapping"]
+    assert (m["source"], m["distinct_inputs"], m["ambiguous_inputs"]) == ("auto", 4, 1)
+    assert [(e["input"], e["canonical"], e["ambiguous"]) for e in m["entries"]] == [("adult", "A1", False), ("child", "C1", False), ("guest", "G1", False), ("student", "S1", True)]
+    (unclear,) = m["ambiguities"]
+    assert (unclear["input"], unclear["targets"]) == ("student", [{"value": "S1", "count": 3}, {"value": "A1", "count": 1}])
+    assert unclear["examples"] == [{"id": "L1", "row": 1, "left": "student", "right": "S1", "expected": "S1"}]
+    top = tariff["pass_results"][0]
+    assert (top["left"], top["right"], top["expected"], top["count"], top["ids"]) == ("student", "S1", "S1", 3, by_hash("L1", "L2", "L4"))
+    assert tariff["fail_results"] == [{"left": "student", "right": "A1", "expected": "S1", "count": 1, "ids": ["L6"]}]
+    assert numbers(desk) == (7, 7, 0, 0, 0, 0, 0) and desk["status"] == "failed" and desk["mapping"]["ambiguous_inputs"] == 1
+    assert numbers(days) == (7, 5, 2, 0, 0, 1, 0) and "mapping" not in days
+    assert numbers(scanned) == (7, 6, 1, 0, 0, 0, 0) and scanned["fail_results"][0]["ids"] == ["L6"]
+    assert (loans["rules_total"], loans["rules_passed"], loans["rules_failed"], loans["rows_checked"]) == (4, 0, 4, 7)
+
+
+def test_renderings(loans):
+    assert json.loads(reports.render_json(loans)) == loans
+    text, page = reports.render_text(loans), reports.render_html(loans, "A <title>")
+    assert "[FAIL] tariff of a group" in text and "student" in text
     assert "A &lt;title&gt;" in page and page.count('<section id="rule-') == 4 and "<details>" in page
 
 
+def test_entries_up_to_a_number(spark, tmp_path):
+    _, ev = run(spark, tmp_path, LOANS, LOAN_RULES, DESKS, id_column="loan")
+    m = reports.report(ev, most_entries=2)["rules"][0]["mapping"]
+    assert [e["input"] for e in m["entries"]] == ["adult", "child"] and m["distinct_inputs"] == 4
+
+
+def test_counting_equals_verdicts(spark, tmp_path):
+    csv = LOANS + "".join(LOANS.split("\n", 1)[1] for _ in range(5))
+    _, ev = run(spark, tmp_path, csv, LOAN_RULES, DESKS)
+    assert sorted(map(tuple, reports.count(ev).collect())) == sorted(map(tuple, reports.counters(ev.verdicts).collect()))
+
+
 def test_empty_and_optional(spark, tmp_path):
     csv = "a,b\nx,1\n,\n , \ny,2\nz,9\n"
     text = 'rule "t" {\n left = a\n right = b\n trim = true\n allow_empty = true\n mapping_files = [ref]\n mapping_left = k\n mapping_right = v\n}\n'
@@ -210,6 +230,86 @@ rule "country" {
     assert list(generator.generate(50)) == list(generator.generate(50)) != list(generator.generate(50, seed=1))
 
 
+def test_generator_in_chunks(spark, monkeypatch):
+    whole = list(generator.generate(1_000, bad_rate=0.3))
+    monkeypatch.setattr(generator, "CHUNK", 64)
+    assert list(generator.generate(1_000, bad_rate=0.3)) == whole
+    assert whole[0][0] == "W000001" and all(30 <= int(r[6]) <= 90 for r in whole)
+    for rate in (0.0, 1.0):
+        for size in (2, 200):
+            rows = list(generator.generate(size, bad_rate=rate))
+            good = [r for r in rows if [r[1], r[2]] in [list(c[:2]) for c in generator.CITIES] and "-" in r[3][4:5] and int(r[5]) == int(float(r[4]) * 9 / 5 + 32 + 0.5 if float(r[4]) > -17 else 0)]
+            assert 0 < len(good) < size and min(len(good), size - len(good)) == 1
+    assert list(generator.generate(0)) == [] and [tuple(r) for r in generator.frame(spark, 1, seed=3).collect()] == [tuple(r) for r in generator.generate(1, seed=3)]
+
+
+def test_numbers_are_a_sequence():
+    state, out = 7 ^ 0x9E3779B97F4A7C15, []
+    for _ in range(20):
+        state = (state + 0x9E3779B97F4A7C15) & (1 << 64) - 1
+        z = (state ^ state >> 30) * 0xBF58476D1CE4E5B9 & (1 << 64) - 1
+        z = (z ^ z >> 27) * 0x94D049BB133111EB & (1 << 64) - 1
+        out.append(z ^ z >> 31)
+    assert generator.numbers(7, np.arange(1, 21)).tolist() == out
+
+
+def test_files_are_split_unless_cells_hold_line_ends(spark, tmp_path):
+    plain = write(tmp_path, "plain.csv", "a,b\n" + "".join(f'{i},"x, ""{i}"""\n' for i in range(5_000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8192")
+    try:
+        t = tables.from_csv(spark, plain)
+        assert t.df.rdd.getNumPartitions() > 4 and not tables.has_line_ends(spark, plain)
+        assert [(r._row, r.c0, r.c1) for r in t.df.orderBy("_row").collect()] == [(i + 1, str(i), f'x, "{i}"') for i in range(5_000)]
+        broken = write(tmp_path, "broken.csv", '"a\nb",c\n1,"x\ny"\n2,z\n')
+        t = tables.from_csv(spark, broken)
+        assert t.headers == ["a\nb", "c"] and [(r._row, r.c0, r.c1) for r in t.df.orderBy("_row").collect()] == [(1, "1", "x\ny"), (2, "2", "z")]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_empty_file_and_header_alone(spark, tmp_path):
+    t = tables.from_csv(spark, write(tmp_path, "none.csv", ""))
+    assert t.headers == [] and t.df.count() == 0 and search.search(t, "x").count() == 0
+    _, ev = run(spark, tmp_path, "a,b\n", 'rule "r" {\n left = a\n right = b\n}\n')
+    r = reports.report(ev)
+    assert (r["rows_checked"], r["rules_failed"], r["rules"][0]["status"]) == (0, 0, "passed") and reports.count(ev).count() == 0
+
+
+def test_standard_input_leaves_no_file(spark, tmp_path, monkeypatch):
+    import atexit
+    import io
+    import os
+
+    gone, monkeyed = [], io.TextIOWrapper(io.BytesIO(b"a,b\n1,1\n"))
+    monkeypatch.setattr("sys.stdin", monkeyed)
+    monkeypatch.setattr(atexit, "register", lambda f, **how: gone.append((f, how)))
+    assert tables.from_stdin(spark).df.count() == 1
+    for f, how in gone:
+        f(**how)
+    assert len(gone) == 1 and not os.path.exists(gone[0][0].__self__)
+
+
+def test_progress(spark):
+    import io
+
+    from pairwright.progress import Progress
+
+    out = io.StringIO()
+    with Progress(spark, out=out, each=0.01) as p:
+        spark.range(2_000_000).repartition(8).selectExpr("sum(sqrt(id))").collect()
+    assert "tasks" in out.getvalue() and out.getvalue().endswith("\r") and p.ended.is_set()
+
+
+def test_tokens_over_repeated_row_numbers(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(1, "a;b", "x;y"), (1, "b", "y"), (1, "a;b", "x;y")], "n long, l string, r string")
+    text = 'rule "m" {\n left = l\n right = r\n multi = true\n separator = ";"\n mapping = auto\n}\n'
+    ev = verdicts.evaluate(tables.from_frame(df, row=F.col("n")), rules.parse(text))
+    assert {(v.left, v.outcome, v.expected) for v in ev.verdicts.collect()} == {("a;b", "passed", "x, y"), ("b", "passed", "y")}
+
+
 def test_cli(spark, tmp_path, capsys, monkeypatch):
     from pairwright import cli
 
