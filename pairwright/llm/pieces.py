@@ -444,17 +444,17 @@ class Pieces:
         split = [self.split(t) for t in docs]
         if self.kept > KEPT:
             self.words, self.kept = {}, 0
-        new = list({w for d in split for w in d} - self.words.keys())
+        new = list(set().union(*split) - self.words.keys())
         ids = self.encode_words(new)
         self.words.update(zip(new, ids))
         self.kept += sum(map(len, new)) + sum(map(len, ids)) + OVERHEAD * len(new)
-        known = self.words
-        return [np.frombuffer(b"".join([known[w] for w in d]), dtype=np.int32) for d in split]
+        known = self.words.__getitem__
+        return [np.frombuffer(b"".join(map(known, d)), dtype=np.int32) for d in split]
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of the ids; bytes that are no UTF-8 become U+FFFD."""
         spelled = self.spelled
-        raw = b"".join([spelled[i] for i in ids.tolist()])
+        raw = b"".join(map(spelled.__getitem__, ids.tolist()))
         if self.prefix and raw[:1] == b" ":
             raw = raw[1:]
         return raw.decode("utf-8", "replace")

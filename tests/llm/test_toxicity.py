@@ -20,10 +20,8 @@ def distance(a, b):
 def brute(word, terms):
     best = None
     for n, t in enumerate(terms):
-        if not word or word[0] != t.text[0]:
-            continue
         ends = range(1, len(word) + 1) if t.opening else [len(word)]
-        e = min(distance(word[1:k], t.text[1:]) for k in ends)
+        e = min((distance(word[:k], t.text) for k in ends), default=99)
         if e <= t.errors:
             best = min(best or (9, 9), (e, n))
     return best
@@ -32,8 +30,10 @@ def brute(word, terms):
 def test_automaton_equals_edit_distances():
     rng = random.Random(1)
     terms = [Term("idiot", False), Term("scum", False), Term("abab", True), Term("worthless", False), Term("lowei", True), Term("loser", False), Term("üble", False), Term("disgusting", True)]
+    terms += [Term(f"{c}ork{c}", False, 1) for c in "bcdfghjklm"]  # more than one automaton holds
     a = Automaton(terms)
-    words = [t.text for t in terms] + ["", "i", "x" * 300, "lowei" + "z" * 300, "scums", "idio", "idiott", "loweö"]
+    assert len(a.parts) > 1
+    words = [t.text for t in terms] + ["dioti", "xidiot", "diot", "vloser", "oser", "cum", "vscum"] + ["", "i", "x" * 300, "lowei" + "z" * 300, "scums", "idio", "idiott", "loweö"]
     for _ in range(4_000):
         w = list(rng.choice(terms).text + rng.choice(["", "", "en", "schaft"]))
         for _ in range(rng.randrange(4)):
@@ -81,6 +81,45 @@ def test_learns_and_finds_misspellings(spark):
     assert by[1] > by[2] == by[3] == by[None]
 
 
+def test_a_common_opening_takes_no_rows_away(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("aeioubdfgklmnprst") for _ in range(rng.randrange(3, 8)))
+    rows, labels = [], []
+    for i in range(400):
+        y = i % 2
+        text = "This document was collected by a crawler. " + " ".join(word() for _ in range(40)) + (" you scumbag " if y else " ") + word()
+        rows.append((i, text, None, "x"))
+        labels.append((i, y))
+    truth, found = spark.createDataFrame(labels, "doc_id long, toxic int"), []
+    for parts in (1, 7):
+        model = toxicity.fit(spark.createDataFrame(rows, SCHEMA).repartition(parts), truth.repartition(parts))
+        found.append(([t for t in model.automaton.terms], model.weights.round(9).tolist(), model.known))
+    assert found[0] == found[1] and any(t.text.startswith("scum") for t in found[0][0])
+
+
+def test_copies_speak_once():
+    rng = random.Random(2)
+    base = [[f"w{rng.randrange(10**6)}" for _ in range(60)] for _ in range(3)]
+    docs = base + [base[0][:30] + ["x"] + base[0][31:], base[0] + ["y"]]
+    got = toxicity.groups([toxicity.sketch(d).tolist() for d in docs])
+    assert got == [0, 1, 2, 0, 0]
+
+
+def test_query(spark, tmp_path):
+    from pairwright.llm.language import held_out
+
+    rows, labels = make(5, 900)
+    rows += [(None, "x", None, None), (5_000, None, None, None), (5_001, "", None, None)]
+    spark.createDataFrame([(i, t, "en", "s") for i, t, *_ in rows], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = toxicity.query(spark, str(tmp_path))
+    assert got.columns == ["doc_id", "held_out", "score", "predicted"] and got.count() == len(rows)
+    assert got.where(held_out("doc_id", 5, 0) != got.held_out).isEmpty() and got.where((got.score >= 0.5) != (got.predicted == 1)).isEmpty()
+    truth = dict(labels)
+    fold = [r for r in got.where("held_out").collect() if r.doc_id in truth]
+    assert len(fold) > 100 and np.mean([r.predicted == truth[r.doc_id] for r in fold]) > 0.97
+
+
 def test_no_labels_and_empty(spark):
     docs = spark.createDataFrame([(1, "a", None, None)], SCHEMA)
     model = toxicity.fit(docs, spark.createDataFrame([], "doc_id long, toxic int"))
