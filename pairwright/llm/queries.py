@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pairwright.llm import audio, chat, language, licenses, mixing, neighbours, pieces, secrets, simhash, toxicity
+from pairwright.llm import audio, base_queries, chat, language, licenses, mixing, neighbours, pieces, secrets, simhash, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,8 +22,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_language": language.query,
         "op10_chat": chat.query,
         "pieces_by_scores": pieces.by_scores_query,
+        **base_queries.queries(),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_neighbours": neighbours.SQL, "op10_chat": chat.SQL}
+    return {"op5_neighbours": neighbours.SQL, "op10_chat": chat.SQL, **base_queries.oracle_sql()}
