@@ -88,6 +88,44 @@ def test_same_ids_as_the_library(type_, seed):
         assert p.decode(mine) == t
 
 
+@pytest.mark.parametrize("type_", [pieces.UNIGRAM, pieces.BPE])
+def test_long_words_equal_the_library(type_):
+    words = vocabulary(4)
+    if type_ == pieces.BPE:
+        words = {w: -float(i) for i, w in enumerate(sorted(words, key=lambda w: (len(w), words[w])))}
+        words = dict(list(words.items())[5:]) | {c: -1000.0 - i for i, c in enumerate("abcd▁")}
+    data = model(words, type_)
+    theirs, p = sentencepiece.SentencePieceProcessor(model_proto=data), pieces.Pieces(data)
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("abcd") for _ in range(n)) for n in (399, 400, 401, 720, 3_000)] + ["a" * 2_000, "ab" * 900, "abcdé€" * 300, "é" * 700]
+    for t, mine in zip(texts, p.encode(texts)):
+        assert p.decode(mine) == t
+        assert mine.tolist() == theirs.encode(t), t[:40]
+
+
+def test_windows_equal_one_pass():
+    rng = random.Random(7)
+    for type_ in (pieces.UNIGRAM, pieces.BPE):
+        words = vocabulary(5)
+        p = pieces.Pieces(model(words if type_ == pieces.UNIGRAM else {w: -float(len(w) * 100 + i) for i, w in enumerate(words)}, type_))
+        for n in (500, 1_000):
+            w = "".join(rng.choice("aabcd") for _ in range(n))
+            last, start = p._ways(p._codes([w], n))
+            got = p._windows(w)
+            assert got[0][1:] == last[0][1:].tolist() and got[1][1:] == start[0][1:].tolist()
+
+
+def test_by_scores_takes_the_largest_sum():
+    words = vocabulary(6)
+    p = pieces.Pieces(model({w: -float(i) for i, w in enumerate(words)}, pieces.BPE), by_scores=True)
+    worth = {p.text[i]: float(p.worth[i]) for i in p.ids}
+    assert p.type == pieces.UNIGRAM and sorted(worth, key=worth.get, reverse=True) == list(words)
+    theirs = sentencepiece.SentencePieceProcessor(model_proto=model(worth, pieces.UNIGRAM))
+    for t, mine in zip(texts := random_texts(6, 200, "abcd "), p.encode(texts)):
+        want = theirs.encode(t)
+        assert sum(worth[p.text[i]] for i in mine) == pytest.approx(sum(worth[theirs.id_to_piece(i)] for i in want), abs=1e-3)
+
+
 def test_public_model_equals_the_library():
     try:
         p = pieces.load()
@@ -96,7 +134,7 @@ def test_public_model_equals_the_library():
     theirs = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
     rng = random.Random(5)
     bits = ["the", "ing", "Straße", "été", "niño", " ", "  ", "\n", "tion", "er", "a", "x", "0", "19", "日本", "🙂", "-", "==", "\t", "▁", "wordy", "THE", "qu"]
-    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(40))) for _ in range(600)] + ["", " ", "a" * 5_000, "ab" * 700 + "\x00"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(40))) for _ in range(600)] + ["", " ", "a" * 5_000, "ab" * 700 + "\x00", "日本" * 600, "Zm9v" * 500]
     for t, mine in zip(texts, p.encode(texts)):
         assert mine.tolist() == theirs.encode(t), t
         if "▁" not in t:
