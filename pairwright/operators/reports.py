@@ -33,8 +33,7 @@ def counters(verdicts: DataFrame) -> DataFrame:
 def count(evaluation: Evaluation) -> DataFrame:
     """The counters of an evaluation, in one pass of columns over its table: rows that are alike in the cells
     that rules read are looked at once, if there are many of them, and no verdict becomes a row."""
-    table, program, references, row_filter = evaluation.inputs
-    alike = evaluate(compacted(table, evaluation.plan, row_filter), program, references)
+    alike = evaluate(compacted(evaluation.table, evaluation.plan, evaluation.row_filter), evaluation.program, evaluation.references)
     n = F.col(WEIGHT) if WEIGHT in alike.wide.columns else F.lit(1)
     parts, sums = [], []
     for p in alike.plan.rules:

@@ -6,7 +6,7 @@ left joins on it, their verdicts one array that is exploded once.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,14 +23,40 @@ PASSED, FAILED, SKIPPED, VALIDATION_SKIPPED = "passed", "failed", "skipped", "va
 UNMAPPED = "\0"
 
 
-@dataclass
 class Evaluation:
-    plan: Plan
-    verdicts: DataFrame
-    relations: dict[tuple[int, int], mapping.Relation] = field(default_factory=dict)
-    table: Table | None = None
-    wide: DataFrame | None = None  # a row for each row of the table, before the verdicts are put one below the other
-    inputs: tuple = ()
+    """A program on a table. Frames are planned when they are asked for."""
+
+    def __init__(self, table: Table, plan: Plan, program: Program, references: mapping.References, row_filter: Column | None, cells: bool):
+        self.table, self.plan, self.program, self.references, self.row_filter, self.cells = table, plan, program, references, row_filter, cells
+
+    @cached_property
+    def prepared(self) -> DataFrame:
+        return prepare(self.table, self.plan, self.row_filter)
+
+    @cached_property
+    def relations(self) -> dict[tuple[int, int], mapping.Relation]:
+        return mapping.relations(self.prepared, self.plan, self.references)
+
+    @cached_property
+    def wide(self) -> DataFrame:
+        """A row for each row of the table, with what its keys stand with."""
+        df = self.prepared
+        for p in self.plan.rules:
+            if p.pattern:
+                continue
+            if p.auto:
+                df = mapping.look_up(df, f"l{p.index}", p.multi, p.separator, self.relations[p.index, 0], f"e{p.index}_0")
+            for k, _ in enumerate(p.sources):
+                df = mapping.look_up(df, f"k{p.index}_{k}", p.multi, p.separator, self.relations[p.index, k], f"e{p.index}_{k}")
+        return df
+
+    @cached_property
+    def verdicts(self) -> DataFrame:
+        """_row, _id, rule, left, right, expected, outcome, transform_error, unmapped, ambiguous (array of token,
+        expected) and, if asked for, cells: a row for each row of the table and each rule."""
+        each = F.explode(F.array(*[_verdict(p) for p in self.plan.rules])).alias("v")
+        kept = [F.array(*[F.col(f"c{i}") for i in range(len(self.table.headers))]).alias("cells")] if self.cells else []
+        return self.wide.select("_row", "_id", *kept, each).select("_row", "_id", *(["cells"] if self.cells else []), "v.*")
 
 
 #: Rows for each different row of cells from which on a table is worth compacting.
@@ -69,23 +95,9 @@ def prepare(table: Table, plan: Plan, row_filter: Column | None = None) -> DataF
 
 
 def evaluate(table: Table, program: Program, references: mapping.References | None = None, row_filter: Column | None = None, cells: bool = False) -> Evaluation:
-    """The verdicts of a program on a table: _row, _id, rule, left, right, expected, outcome, transform_error,
-    unmapped, ambiguous (array of token, expected) and, if asked for, cells."""
+    """A program on a table, compiled against its headers."""
     plan = compile_program(program, table.headers)
-    references = references or mapping.References(table.df.sparkSession)
-    df = prepare(table, plan, row_filter)
-    found = mapping.relations(df, plan, references)
-    for p in plan.rules:
-        if p.pattern:
-            continue
-        if p.auto:
-            df = mapping.look_up(df, f"l{p.index}", p.multi, p.separator, found[p.index, 0], f"e{p.index}_0")
-        for k, _ in enumerate(p.sources):
-            df = mapping.look_up(df, f"k{p.index}_{k}", p.multi, p.separator, found[p.index, k], f"e{p.index}_{k}")
-    each = F.explode(F.array(*[_verdict(p) for p in plan.rules])).alias("v")
-    kept = [F.array(*[F.col(f"c{i}") for i in range(len(table.headers))]).alias("cells")] if cells else []
-    below = df.select("_row", "_id", *kept, each).select("_row", "_id", *(["cells"] if cells else []), "v.*")
-    return Evaluation(plan, below, found, table, df, (table, program, references, row_filter))
+    return Evaluation(table, plan, program, references or mapping.References(table.df.sparkSession), row_filter, cells)
 
 
 def _verdict(p: RulePlan) -> Column:

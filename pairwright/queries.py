@@ -226,6 +226,43 @@ def _(spark, d):
     return counted(judged(spark, d, "pages", rule("url", left="url", pattern='"^https://[[:lower:].]+/(?:en|fr)/[[:digit:]]+$"'), ["page_id", "url"]))
 
 
+# Tokens of mappings -------------------------------------------------------------------------------------
+
+
+@query("token_pairs", "SELECT token, target, count(*) AS n FROM (SELECT split_part(p_name, ' ', 1) AS token, split_part(p_name, ' ', 2) AS target FROM part UNION ALL SELECT split_part(p_name, ' ', 2), split_part(p_name, ' ', 1) FROM part) GROUP BY 1, 2")
+def _(spark, d):
+    text = rule("pairs", derive="'split(p_name, \" \") as (a, b), b ++ \" \" ++ a as other'", left="p_name", right="other", multi="true", separator='" "', mapping="auto")
+    return judged(spark, d, "part", text, ["p_partkey", "p_name"]).relations[0, 0].counts
+
+
+TOKENS = [("A;R", "F", "x;y"), ("N", "O", ""), ("A", "F", "F")]
+
+
+@query("token_products", "SELECT * FROM (VALUES ('A', 'F', CAST(3 AS BIGINT)), ('A', 'x', 1), ('A', 'y', 1), ('R', 'F', 1), ('R', 'x', 1), ('R', 'y', 1), ('N', 'O', 1)) AS t(token, target, n)")
+def _(spark, d):
+    text = rule("products", left="l_returnflag", right="l_linestatus", mapping_files="[ref]", mapping_left="k", mapping_right="[v, w]", mapping_multi="true", mapping_separator='";"')
+    e = judged(spark, d, "lineitem", text, ["l_orderkey", "l_returnflag", "l_linestatus"], {"ref": small_table(spark, "k v w", TOKENS)})
+    return e.relations[0, 0].counts
+
+
+@query("composite_right", counts_sql("lineitem", PASS.format("l_returnflag || l_linestatus || l_linenumber IN ('AF1', 'NO2', 'RF1')")))
+def _(spark, d):
+    refs = {"ref": small_table(spark, "flag status number", [("A", "F", "1"), ("N", "O", "2"), ("R", "F", "1")])}
+    text = rule("both", left="l_returnflag", right="[l_linestatus, l_linenumber]", mapping_files="[ref]", mapping_left="flag", mapping_right="[status, number]")
+    return counted(judged(spark, d, "lineitem", text, ["l_orderkey", "l_returnflag", "l_linestatus", "l_linenumber"], refs))
+
+
+@query(
+    "report_totals",
+    f"SELECT CAST(4 AS INT) AS rules_total, CAST(1 AS INT) AS rules_passed, CAST(3 AS INT) AS rules_failed, count(*) AS rows_checked, (SELECT count(*) FROM ({BRAND_BEST}) WHERE k = 1) AS inputs, (SELECT count(*) FROM ({BRAND_BEST}) WHERE k = 1 AND m > 1) AS ambiguous FROM part",
+)
+def _(spark, d):
+    r = reports.report(judged(spark, d, "part", SUMMARY, [*BRAND_COLUMNS, "p_name"]))
+    m = r["rules"][0]["mapping"]
+    row = (r["rules_total"], r["rules_passed"], r["rules_failed"], r["rows_checked"], m["distinct_inputs"], m["ambiguous_inputs"])
+    return spark.createDataFrame([row], "rules_total int, rules_passed int, rules_failed int, rows_checked long, inputs long, ambiguous long")
+
+
 # Predicates ---------------------------------------------------------------------------------------------
 
 P, S = "o_orderpriority", "o_orderstatus"
@@ -237,6 +274,7 @@ PREDICATES = {
     "eq": (f'eq({S}, "P")', f"{S} = 'P'"),
     "ne": (f'ne({S}, "P")', f"{S} <> 'P'"),
     "empty": (f"empty({S})", "false"),
+    "constants": (f'or(never, and(always, eq({S}, "O")))', f"{S} = 'O'"),
     "not_empty": (f"not_empty(or({S}, {P}))", "true"),
     "bool": (f'or(and(eq({S}, "F"), not(in({P}, ["5-LOW"]))), [eq({S}, "P"), never])', f"({S} = 'F' AND {P} <> '5-LOW') OR {S} = 'P'"),
 }
@@ -310,6 +348,9 @@ DERIVED = {
     "text": ("part", ["p_partkey", "p_type", "p_brand"], "upper(p_brand) | replace(_, \"BRAND#\", p_type[0]) | concat(_, len(p_type), p_type | lower) as out", "replace(upper(p_brand), 'BRAND#', p_type[1]) || length(p_type) || lower(p_type)"),
     "extremes": ("part", ["p_partkey", "p_size", "p_brand"], "min(p_size, 20, \"7\") ++ \" \" ++ max([p_size, 9]) ++ \" \" ++ max(p_brand, \"Brand#3\") as out", "least(p_size, 7) || ' ' || greatest(p_size, 9) || ' ' || greatest(p_brand, 'Brand#3')"),
     "regex": ("events", ["event_id", "props", "event_type"], "match(props, /k.*?(\\d+)/, 1) ++ (if(contains(event_type, /^(view|click)$/), \" seen\", \"\")) as out", "regexp_extract(props, '(\\d+)', 1) || CASE WHEN event_type IN ('view', 'click') THEN ' seen' ELSE '' END"),
+    "logic": ("part", ["p_partkey", "p_size"], "join([p_size > 30 or \"small\", p_size > 30 and \"big\", -p_size], \",\") as out", "CASE WHEN p_size > 30 THEN 'true,big,-' ELSE 'small,false,-' END || p_size"),
+    "calls": ("part", ["p_partkey", "p_name", "p_type", "p_brand"], "join([p_name.upper(), eq(p_brand, \"Brand#3\"), lt(p_brand, \"Brand#2\"), trim(concat(\" \", p_type, \" \")), ltrim(\"  a\"), rtrim(concat(p_type, \"  \"))], \",\") as out", "concat_ws(',', upper(p_name), CAST(p_brand = 'Brand#3' AS VARCHAR), CAST(p_brand < 'Brand#2' AS VARCHAR), p_type, 'a', p_type)"),
+    "casts": ("part", ["p_partkey", "p_name", "p_size"], "join([float(p_size) + 0.5, string(p_size) ++ \"!\", bool(p_name), get(p_name, 1), slice(p_name, 0, 2), is_null(\"\"), is_empty(\"\"), is_null(p_name), is_empty(p_name)], \",\") as out", "concat_ws(',', p_size || '.5', p_size || '!', 'true', p_name[2], p_name[1:2], 'true', 'true', 'false', 'false')"),
     "types": ("part", ["p_partkey", "p_size"], "join([typeof(p_size), typeof(int(p_size)), typeof(p_size / 2), typeof(null), typeof(true), typeof([1])], \",\") as out", "'string,integer,float,none,boolean,list'"),
 }
 

@@ -10,13 +10,17 @@ from __future__ import annotations
 import csv
 import datetime
 import math
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need no copy of the package
+
 #: Cities, their countries and their mean temperatures (°C).
 CITIES = [
     ("Paris", "France", 12.0),
