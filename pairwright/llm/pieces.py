@@ -55,7 +55,7 @@ SPACE = "▁"
 WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 #: Bytes of words and their ids that a worker remembers (with OVERHEAD for each), and slots for pairs of
 #: pieces; both only save time.
-KEPT, OVERHEAD, PAIRS = 48 << 20, 220, 1 << 20
+KEPT, OVERHEAD, PAIRS = 88 << 20, 220, 1 << 20
 #: Letters from which on a word is cut into windows of CORE letters, each with WARM letters before it.
 LONG, CORE, WARM = 400, 256, 64
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -470,7 +470,7 @@ def shared(model: bytes, by_scores: bool = False) -> Pieces:
     return held[name]
 
 
-def blocks(b: pa.RecordBatch, most: int = 2_000_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+def blocks(b: pa.RecordBatch, most: int = 3_000_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Slices of a batch with the texts of its first column, of some ``most`` bytes each."""
     first, size, found = 0, 0, []
     for i, t in enumerate(texts(b.column(0))):
