@@ -55,7 +55,7 @@ SPACE = "▁"
 WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 #: Bytes of words and their ids that a worker remembers (with OVERHEAD for each), and slots for pairs of
 #: pieces; both only save time.
-KEPT, OVERHEAD, PAIRS = 88 << 20, 220, 1 << 20
+KEPT, OVERHEAD, PAIRS = 88 << 20, 220, 1 << 21
 #: Letters from which on a word is cut into windows of CORE letters, each with WARM letters before it.
 LONG, CORE, WARM = 400, 256, 64
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -200,11 +200,12 @@ class Pieces:
     def _best_ways(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The same, with each way's worth."""
         n, size = codes.shape
-        sums, back = self._sums(codes), self._back(size + 1)
-        last = np.full((n, size + 1), -2, dtype=np.int32)
-        start = np.zeros((n, size + 1), dtype=np.int32)
-        best = np.full((n, size + 1), -np.inf, dtype=np.float32)
-        best[:, 0] = 0.0
+        back = self._back(size + 1)
+        sums = np.ascontiguousarray(self._sums(codes).T)  # a row for each place: rows of words are gathered from it
+        last = np.full((size + 1, n), -2, dtype=np.int32)
+        start = np.zeros((size + 1, n), dtype=np.int32)
+        best = np.full((size + 1, n), -np.inf, dtype=np.float32)
+        best[0] = 0.0
         lone = np.float32(self.worth[self.ids].min() - 10.0)
         for end in range(1, size + 1):
             open_ = np.arange(n)  # BPE: words whose only way to this place is still to be found
@@ -212,26 +213,26 @@ class Pieces:
                 rows = open_ if self.type == BPE else np.arange(n)
                 if not len(rows):
                     break
-                h = (sums[rows, end] - sums[rows, first]) * back[first]
+                h = (sums[end].take(rows) - sums[first].take(rows)) * back[first]
                 piece = self._probe(self._mix(h, end - first))
                 single = end - first == 1
                 known = np.flatnonzero((piece >= 0) | single)
-                rows, piece = rows[known], piece[known]
+                rows, piece = rows.take(known), piece.take(known)
                 if not len(rows):
                     continue
                 if self.type == BPE:
-                    fits = self._follows(last[rows, first], piece, first)
+                    fits = self._follows(last[first].take(rows), piece, first)
                     if single:
-                        fits |= last[rows, end] == -2  # nothing else is left
+                        fits |= last[end].take(rows) == -2  # nothing else is left
                     total = np.where(fits, np.float32(0), np.float32(-np.inf))
                 else:
-                    total = best[rows, first] + np.where(piece >= 0, self.worth[piece], lone)
-                better = total > best[rows, end]
+                    total = best[first].take(rows) + np.where(piece >= 0, self.worth[piece], lone)
+                better = total > best[end].take(rows)
                 rows, piece = rows[better], piece[better]
-                best[rows, end], last[rows, end], start[rows, end] = total[better], piece, first
+                best[end, rows], last[end, rows], start[end, rows] = total[better], piece, first
                 if self.type == BPE and len(rows):
-                    open_ = open_[last[open_, end] == -2]
-        return last, start, best
+                    open_ = open_[last[end].take(open_) == -2]
+        return tuple(np.ascontiguousarray(x.T) for x in (last, start, best))
 
     def _windows(self, word: str) -> tuple[list[int], list[int]]:
         """What _ways gives for one word of many letters, by windows that advance together."""
