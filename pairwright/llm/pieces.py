@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding in batched numpy.
 
 A model file's pieces, kinds and scores are read from its bytes. Text is cut where no piece can cross
-(before each run of spaces), and the different words of a batch that have one length are encoded together:
+(before each run of spaces), and the different words of a batch are encoded together, the longest first:
 place by place, all substrings that end there are looked up by their hash among the sorted piece keys, and
 the best way to each place is kept with a pointer back, by maxima over whole arrays.
 
@@ -58,6 +58,8 @@ WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 KEPT, OVERHEAD, PAIRS = 88 << 20, 220, 1 << 21
 #: Letters from which on a word is cut into windows of CORE letters, each with WARM letters before it.
 LONG, CORE, WARM = 400, 256, 64
+#: Letters of words that advance together, with the room of the shorter ones.
+CELLS = 400_000
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 BACK = np.uint64(pow(int(BASE), -1, 1 << 64))
 
@@ -129,6 +131,9 @@ class Pieces:
         self.maybe[self.keys >> np.uint64(43)] = True
         if len(np.unique(self.keys)) < len(self.keys):
             raise ValueError("two pieces have one hash")
+        heads = np.arange((1 << 18) + 1, dtype=np.uint64)
+        self.head = np.searchsorted(self.keys >> np.uint64(46), heads).astype(np.int32)
+        self.steps = int(np.diff(self.head).max())
         self.lengths = np.array([len(t) for t in self.text], dtype=np.int64)
         self.letters = np.zeros((len(self.text), self.longest), dtype=np.uint32)
         for i in usable:
@@ -163,7 +168,7 @@ class Pieces:
     @staticmethod
     def _mix(h: np.ndarray, length: int | np.ndarray) -> np.ndarray:
         h = h + np.asarray(length).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-        return h ^ (h >> np.uint64(31))
+        return (h ^ (h >> np.uint64(31))) * BASE  # the first bits of one letter's sum are all alike before
 
     @staticmethod
     def _codes(words: list[str], size: int) -> np.ndarray:
@@ -179,27 +184,37 @@ class Pieces:
         return out
 
     def _probe(self, h: np.ndarray) -> np.ndarray:
-        """The piece with each hash, or -1: a bitmap of the keys' first bits spares most searches."""
+        """The piece with each hash, or -1: a bitmap of the keys' first bits spares most searches, the others
+        go through the keys that have the same first bits."""
         out = np.full(h.shape, -1, dtype=np.int32)
-        some = np.flatnonzero(self.maybe[h >> np.uint64(43)])
-        if len(some):
-            at = np.minimum(np.searchsorted(self.keys, h[some]), len(self.keys) - 1)
-            out[some] = np.where(self.keys[at] == h[some], self.ids[at], -1)
+        some = np.flatnonzero(self.maybe.take((h >> np.uint64(43)).view(np.int64)))
+        wanted = h.take(some)
+        at = self.head.take((wanted >> np.uint64(46)).view(np.int64))
+        for _ in range(self.steps):
+            if not len(some):
+                break
+            there = self.keys.take(at, mode="clip")
+            same = there == wanted
+            out[some[same]] = self.ids.take(at[same])
+            on = np.flatnonzero(there < wanted)
+            some, wanted, at = some.take(on), wanted.take(on), at.take(on) + 1
         return out
 
     @staticmethod
     def _back(n: int) -> np.ndarray:
         return np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(max(0, n - 1), BACK, np.uint64))), dtype=np.uint64)[:n]
 
-    # Encoding of words of one length --------------------------------------------------------------------
+    # Encoding of words side by side ---------------------------------------------------------------------
 
-    def _ways(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(words, length + 1): the last piece of the best way to each place (-1: a lone character), and where it starts."""
-        return self._best_ways(codes)[:2]
+    def _ways(self, codes: np.ndarray, sizes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(words, length + 1): the last piece of the best way to each place (-1: a lone character), and where it starts.
+        sizes: how many letters each word has, the longest first; by default all that codes has room for."""
+        return self._best_ways(codes, sizes)[:2]
 
-    def _best_ways(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _best_ways(self, codes: np.ndarray, sizes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The same, with each way's worth."""
         n, size = codes.shape
+        reach = [n] * (size + 1) if sizes is None else np.searchsorted(-sizes, -np.arange(size + 1), side="right").tolist()
         back = self._back(size + 1)
         sums = np.ascontiguousarray(self._sums(codes).T)  # a row for each place: rows of words are gathered from it
         last = np.full((size + 1, n), -2, dtype=np.int32)
@@ -208,9 +223,9 @@ class Pieces:
         best[0] = 0.0
         lone = np.float32(self.worth[self.ids].min() - 10.0)
         for end in range(1, size + 1):
-            open_ = np.arange(n)  # BPE: words whose only way to this place is still to be found
+            open_ = every = np.arange(reach[end])  # BPE: words whose only way to this place is still to be found
             for first in range(max(0, end - self.longest), end):
-                rows = open_ if self.type == BPE else np.arange(n)
+                rows = open_ if self.type == BPE else every
                 if not len(rows):
                     break
                 h = (sums[end].take(rows) - sums[first].take(rows)) * back[first]
@@ -396,9 +411,8 @@ class Pieces:
 
     def _read_back(self, words: list[str], last: np.ndarray, start: np.ndarray) -> list[bytes]:
         """The ids of each word, following all pointers back together."""
-        n, size = len(words), last.shape[1] - 1
-        row = np.arange(n)
-        end = np.full(n, size)
+        row = np.arange(len(words))
+        end = np.array([len(w) for w in words])
         steps = []
         while end.any():
             steps.append(np.where(end > 0, last[row, end], -3))
@@ -413,22 +427,23 @@ class Pieces:
         return out
 
     def encode_words(self, words: list[str]) -> list[bytes]:
-        """The ids of each word (with its leading space marks) as int32; equal lengths advance together."""
+        """The ids of each word (with its leading space marks) as int32; words of similar lengths advance together."""
         out = [b""] * len(words)
-        by: dict[int, list[int]] = {}
-        for i, w in enumerate(words):
-            by.setdefault(len(w), []).append(i)
-        for size, every in by.items():
-            if size >= LONG:
-                for i in every:
-                    out[i] = self._spell(words[i], *self._windows(words[i]))
-                continue
-            step = max(1, 400_000 // max(1, size))
-            for k in range(0, len(every) if size else 0, step):
-                at = every[k : k + step]
-                part = [words[i] for i in at]
-                for i, x in zip(at, self._read_back(part, *self._ways(self._codes(part, size)))):
-                    out[i] = x
+        sizes = np.array([len(w) for w in words], dtype=np.int64)
+        order = np.argsort(-sizes, kind="stable")
+        sizes = sizes[order]
+        long, some = int((sizes >= LONG).sum()), int((sizes > 0).sum())
+        for i in order[:long].tolist():
+            out[i] = self._spell(words[i], *self._windows(words[i]))
+        k = long
+        while k < some:
+            size = int(sizes[k])
+            upto = min(some, k + max(1, CELLS // size))
+            at = order[k:upto].tolist()
+            part = [words[i] for i in at]
+            for i, x in zip(at, self._read_back(part, *self._ways(self._codes(part, size), sizes[k:upto]))):
+                out[i] = x
+            k = upto
         return out
 
     # Texts ----------------------------------------------------------------------------------------------

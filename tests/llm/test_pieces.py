@@ -115,6 +115,29 @@ def test_windows_equal_one_pass():
             assert got[0][1:] == last[0][1:].tolist() and got[1][1:] == start[0][1:].tolist()
 
 
+@pytest.mark.parametrize("type_", [pieces.UNIGRAM, pieces.BPE])
+def test_words_of_many_lengths_advance_together(type_, monkeypatch):
+    words = vocabulary(8)
+    p = pieces.Pieces(model(words if type_ == pieces.UNIGRAM else {w: -float(len(w) * 100 + i) for i, w in enumerate(words)}, type_))
+    rng = random.Random(8)
+    every = ["".join(rng.choice("abcdé") for _ in range(n)) for n in range(120) for _ in range(4)]
+    rng.shuffle(every)
+    alone = [p.encode_words([w])[0] for w in every]
+    groups = []
+    ways = p._ways
+    monkeypatch.setattr(p, "_ways", lambda codes, *more: groups.append(codes.shape) or ways(codes, *more))
+    assert p.encode_words(every) == alone and sum(n for n, _ in groups) == 476 and len(groups) == 1
+    monkeypatch.setattr(pieces, "CELLS", 1_000)
+    assert p.encode_words(every) == alone and all(n * size <= 1_000 for n, size in groups[1:])
+
+
+def test_pieces_of_one_letter_are_told_apart_by_the_first_bits():
+    letters = [chr(x) for x in range(0x4E00, 0x4E00 + 3_000)]
+    p = pieces.Pieces(model({c: -float(i) for i, c in enumerate(letters)}, pieces.UNIGRAM))
+    assert len(set((p.keys >> pieces.np.uint64(43)).tolist())) > 2_900 and p.steps <= 4
+    assert [p.text[i] for i in p._probe(p._hashes(letters + ["㐀"]))[:-1]] == letters and p._probe(p._hashes(["㐀"])).tolist() == [-1]
+
+
 def test_by_scores_takes_the_largest_sum():
     words = vocabulary(6)
     p = pieces.Pieces(model({w: -float(i) for i, w in enumerate(words)}, pieces.BPE), by_scores=True)
