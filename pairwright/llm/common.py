@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import sys
 import tempfile
 from collections.abc import Iterator
 
@@ -113,19 +114,32 @@ def give_back() -> None:
         pass
 
 
-def released(run):
-    """run, a function of batches, that gives memory back in the end."""
+def held(owner: str) -> dict:
+    """What a worker keeps for an operator from task to task; what it kept for another one goes."""
+    every = sys.__dict__.setdefault("_pairwright_held", {})
+    if every.keys() - {owner}:
+        mine = every.get(owner, {})
+        every.clear()
+        every[owner] = mine
+        give_back()
+    return every.setdefault(owner, {})
+
+
+def released(run, owner: str = ""):
+    """run, a function of batches of an operator, that gives memory back in the end. What the worker keeps for
+    other operators goes before."""
 
     def all_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held(owner)
         yield from run(batches)
         give_back()
 
     return all_of
 
 
-def in_arrow(df: DataFrame, run, schema) -> DataFrame:
+def in_arrow(df: DataFrame, run, schema, owner: str = "") -> DataFrame:
     """df.mapInArrow, whatever the names of df's columns; the batches' columns go by place."""
-    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]).mapInArrow(released(run), schema)
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]).mapInArrow(released(run, owner), schema)
 
 
 def row_hash(df: DataFrame, seed: int = 0) -> Column:

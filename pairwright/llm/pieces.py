@@ -35,7 +35,6 @@ import math
 import os
 import re
 import struct
-import sys
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -45,7 +44,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairwright.llm.common import columns as named
-from pairwright.llm.common import fresh, in_arrow, quoted, schema_of, table, text_batches, texts, utf8
+from pairwright.llm.common import fresh, held, in_arrow, quoted, schema_of, table, text_batches, texts, utf8
 
 #: Where the query finds its model.
 MODEL = os.environ.get("PAIRWRIGHT_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
@@ -55,7 +54,9 @@ SPACE = "▁"
 WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 #: Bytes of words and their ids that a worker remembers (with OVERHEAD for each), and slots for pairs of
 #: pieces; both only save time.
-KEPT, OVERHEAD, PAIRS = 88 << 20, 220, 1 << 21
+KEPT, OVERHEAD, PAIRS = 48 << 20, 220, 1 << 21
+#: Whose tasks of a worker share them.
+OWNER = "pieces"
 #: Letters from which on a word is cut into windows of CORE letters, each with WARM letters before it.
 LONG, CORE, WARM = 400, 256, 64
 #: Letters of words that advance together, with the room of the shorter ones.
@@ -478,12 +479,12 @@ class Pieces:
 
 def shared(model: bytes, by_scores: bool = False) -> Pieces:
     """The model's pieces, kept by the process with all that they have learned, over the tasks of a worker."""
-    held = sys.__dict__.setdefault("_pairwright_pieces", {})
+    kept = held(OWNER)
     name = hashlib.sha256(model).hexdigest(), by_scores
-    if name not in held:
-        held.clear()
-        held[name] = Pieces(model, by_scores)
-    return held[name]
+    if name not in kept:
+        kept.clear()
+        kept[name] = Pieces(model, by_scores)
+    return kept[name]
 
 
 def blocks(b: pa.RecordBatch, most: int = 3_000_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
@@ -519,7 +520,7 @@ def encode(docs: DataFrame, model: bytes, columns: list[str], text_col: str = "t
                     out += [pa.array([hashlib.sha256(t.encode()).hexdigest() for t in back]), pa.array([x == y for x, y in zip(back, docs_)], pa.bool_())]
                 yield pa.RecordBatch.from_arrays(out, names=[*columns, "ids", *["text_sha256", "round_trip"] * check])
 
-    return in_arrow(rows, run, schema_of(docs, columns, "ids array<int>", *["text_sha256 string", "round_trip boolean"] * check))
+    return in_arrow(rows, run, schema_of(docs, columns, "ids array<int>", *["text_sha256 string", "round_trip boolean"] * check), OWNER)
 
 
 def decode(encoded: DataFrame, model: bytes, columns: list[str], ids_col: str = "ids") -> DataFrame:
@@ -533,7 +534,7 @@ def decode(encoded: DataFrame, model: bytes, columns: list[str], ids_col: str =
             found = [pieces.decode(np.array(x, dtype=np.int32)) for x in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(found, pa.string())], names=[*columns, "text"])
 
-    return in_arrow(rows, run, schema_of(encoded, columns, "text string"))
+    return in_arrow(rows, run, schema_of(encoded, columns, "text string"), OWNER)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,10 @@
 import random
 import struct
+import weakref
 
 import pytest
 
-from pairwright.llm import pieces
+from pairwright.llm import common, pieces
 
 sentencepiece = pytest.importorskip("sentencepiece")
 SCHEMA = "doc_id long, text string, ids string, text_sha256 string"
@@ -164,6 +165,17 @@ def test_public_model_equals_the_library():
             assert p.decode(mine) == t
 
 
+def test_other_operators_tasks_drop_what_a_worker_keeps():
+    data = model(vocabulary(1), pieces.UNIGRAM)
+    mine = common.released(lambda batches: iter([pieces.shared(data)]), pieces.OWNER)
+    (first,), (again,) = mine([]), mine([])
+    assert first is again
+    kept = weakref.ref(first)
+    del first, again
+    assert list(common.released(lambda batches: iter([kept()]))([])) == [None]
+    assert list(mine([]))[0].text[0] == "<unk>"
+
+
 def test_over_spark(spark):
     data = model(vocabulary(1), pieces.UNIGRAM)
     rows = [(i, t, "x", None) for i, t in enumerate(random_texts(4, 80, "abcdé \n€"))] + [(900, None, None, None), (901, "", None, None), (902, "abcd " * 30_000, None, None), (902, "a", None, None), (None, "b" * 20_000, None, None)]
